@@ -35,7 +35,7 @@ PIECES = (48, 160, 640)
 EPOCHS, RATE, BATCH = 3, 0.4, 32
 #: Of predictions that are accepted, so many must be right on the calibration share.
 PRECISION = 0.99
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 #: Bytes after ASCII folding: letters stay, the rest is a space.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -233,5 +233,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         for b in batches:
             lang, score, sure = sent.value.predict(b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], [*b.schema.names[1:], "lang_pred", "score", "accepted"])
+        shared.tidy()
 
     return slim.mapInArrow(work, StructType([*slim.schema.fields[1:], *StructType.fromDDL("lang_pred string, score double, accepted boolean").fields]))

@@ -174,6 +174,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=Non
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             cols = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["k", *names])
+        shared.tidy()
 
     out = slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"))
     return out.withColumnRenamed("k", key)

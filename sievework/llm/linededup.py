@@ -68,6 +68,7 @@ def references(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
             both = np.frombuffer(b"".join(found), ">i8").reshape(-1, 2).astype(np.int64)
             doc = np.repeat(np.asarray(b.column(0)), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc", "hi", "lo"])
+        shared.tidy()
 
     return slim.mapInArrow(work, "doc long, hi long, lo long")
 
@@ -244,6 +245,7 @@ def rewrite(docs: DataFrame, index: LineIndex, text: str = "text", key: str = "d
                 lines.append(n)
                 dropped.append(gone)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*b.schema.names[:-1], *made])
+        shared.tidy()
 
     schema = StructType([*fields, *StructType.fromDDL("kept_text string, n_lines long, n_dropped long").fields])
     return both.select(*(f.name for f in fields), lost).mapInArrow(work, schema)

@@ -25,7 +25,7 @@ from . import shared, tokens
 LENGTH, END = 2048, 1
 #: Pieces a group, on average.
 GROUP = 8192
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class Rooms:
@@ -101,6 +101,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | No
                     body = ids.astype("<u4")
                     what = pa.array([zlib.crc32(body[x:y]) for x, y in spans], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(np.array(copies, np.int64)[row + i]), pa.array(start), pa.array(size), pa.array(sizes[row]), what], ["k", "copy", "start", "length", "doc_tokens", "what"])
+        shared.tidy()
 
     out = slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, f"copy long, start long, length long, doc_tokens long, what {'binary' if payload == 'ids' else 'long'}"))
     return out.withColumnsRenamed({"k": key, "what": "ids" if payload == "ids" else "ids_crc32"})

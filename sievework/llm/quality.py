@@ -29,7 +29,7 @@ MAX_COVERAGE = {3: 0.45, 5: 0.40, 10: 0.35}
 MAX_LINE_COVERAGE = 0.30
 #: Most symbols a word.
 MAX_SYMBOLS = 0.1
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")
 
@@ -109,6 +109,7 @@ def repetition(docs: DataFrame, text: str = "text", key: str = "doc_id", grams:
             found = [measure(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], grams) for i, j in shared.row_slices(offs, CHUNK)]
             cols = [pa.array(np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64), pa.int64()) for c in names]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["k", *names])
+        shared.tidy()
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, ", ".join(f"{c} long" for c in names))).withColumnRenamed("k", key)

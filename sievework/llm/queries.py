@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import decontam, langid, licenses, linededup, packing, quality, sharding, shared, simhash, tokenout, warc
 from .shared import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     folder = shared.fresh_path(spark, "warc")
     manifest, shards = warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(manifest, shards, folder, payload=False).drop("url", "payload")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = langid.train(docs, usable=~held)
@@ -31,7 +30,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -41,7 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -51,19 +50,19 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     folder = shared.fresh_path(spark, "tokens")
     manifest, shards = tokenout.write(table(spark, sf_dir, "documents"), folder)
     return tokenout.read(manifest, shards, folder)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    shared.ready(spark)
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -13,11 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import ship_package
+
 #: A side of a join is broadcast only when its written files hold no more than this.
 BROADCAST_BYTES = 8 << 20
+#: A batch of texts for a Python worker; a longer text is a batch alone.
+BATCH_BYTES = "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the Arrow batches that hold whole texts by bytes."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
@@ -35,6 +46,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def tidy() -> None:
+    """Give a task's freed memory back: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and the size is known."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ from . import shared, vptree
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Mean fingerprints a shard that the number of blocks is chosen for.
 SHARD = 4096
-PART = 1 << 16
+PART = 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             raw = data.tobytes()
             fps = np.array([fingerprint(raw[i:j], shingle) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["k", "fp"])
+        shared.tidy()
 
     return slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, "fp long")).withColumnRenamed("k", key)
 

@@ -33,7 +33,7 @@ BLOCK, PERCENT = 128, 95
 #: Text bytes a shard.
 SHARD_BYTES = 32 << 20
 FLUSH_IDS = 1 << 19
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 LAST = (1 << 63) - 1
 HEAD, TAIL = b"PFOR1\n", b"PFORTAIL"
 
@@ -128,6 +128,7 @@ def encoded(docs: DataFrame, bounds: np.ndarray, text: str, key: str, path: str,
                 wide = enc.dtype.itemsize
                 cells = [body[x * wide : y * wide] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), pa.array(doc[i:j]), pa.array(np.diff(ends)), pa.array(cells, pa.binary())], ["shard", "doc", "n", "ids"])
+        shared.tidy()
 
     return slim.mapInArrow(work, "shard int, doc long, n long, ids binary")
 

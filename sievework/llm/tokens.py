@@ -18,7 +18,7 @@ import public_tokenizers
 
 DEFAULT = "word_bpe_49k.json"
 #: Words remembered by a worker before the table starts anew.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 400_000
 ENDS, TEXT_ENDS = b".,;:!?", ".,;:!?"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
