@@ -31,9 +31,9 @@ def association(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def bayes_train(rows: DataFrame, label: str, text, least: int = 3) -> DataFrame:
     """(label, gram, n): character 1- to 3-grams of lower-cased text; longer ones only if counted `least` times."""
-    low = F.lower(col(text))
-    grams = F.concat(*(char_ngrams(low, n) for n in (1, 2, 3)))
-    counted = rows.select(F.col(label).alias("label"), F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("n"))
+    grams = F.concat(*(char_ngrams(F.col("chars"), n) for n in (1, 2, 3)))
+    rows = rows.select(F.col(label).alias("label"), F.split(F.lower(col(text)), "").alias("chars"))
+    counted = rows.select("label", F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("n"))
     return counted.where((F.length("gram") == 1) | (F.col("n") >= least))
 
 
@@ -42,8 +42,8 @@ def bayes_predict(rows: DataFrame, model: DataFrame, text, default: str) -> Data
     total = model.groupBy("label").agg(F.sum("n").alias("total"))
     size = model.select("gram").distinct().agg(F.count("*").alias("v"))
     labels = total.join(F.broadcast(size))  # labels by one row
-    low = F.lower(col(text))
-    grams = rows.select("id", F.explode(F.concat(*(char_ngrams(low, n) for n in (1, 2, 3)))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
+    rows = rows.select("id", F.split(F.lower(col(text)), "").alias("chars"))
+    grams = rows.select("id", F.explode(F.concat(*(char_ngrams(F.col("chars"), n) for n in (1, 2, 3)))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
     length = grams.groupBy("id").agg(F.sum("c").alias("len"))
     # a gram that a label lacks scores as one counted zero times, so only known grams are joined
     known = grams.join(model, "gram").join(F.broadcast(labels), "label")

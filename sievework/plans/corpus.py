@@ -187,10 +187,9 @@ def decontam_contains(spark, sf):
     return met.unionByName(rest).distinct()
 
 
-@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower(trim(b.text)) = lower(trim(d.text))) AND d.doc_id % 7 <> 0 OR d.doc_id IS NULL")
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower(trim(b.text)) = lower(trim(d.text)))")
 def decontam_anti(spark, sf):
-    rows = docs(spark, sf).where("doc_id % 7 <> 0")
-    return rel.exclude(rows, F.lower(F.trim("text")), table(spark, sf, "benchmark"), F.lower(F.trim("text"))).select("doc_id", "source")
+    return rel.exclude(docs(spark, sf), F.lower(F.trim("text")), table(spark, sf, "benchmark"), F.lower(F.trim("text"))).select("doc_id", "source")
 
 
 _SETS = r"list_distinct(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda x: length(x) > 3))"
@@ -379,11 +378,12 @@ def order_stats(spark, sf):
     return docs(spark, sf).groupBy("lang").agg(F.median("n_chars").alias("med"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("sd"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
 
 
-@query("SELECT sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents WHERE doc_id < 500")
+@query("SELECT doc_id // 500 AS block, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1")
 def ordered_content_hash(spark, sf):
-    """An order-sensitive digest of a bounded range of rows."""
-    rows = docs(spark, sf).where("doc_id < 500")
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["n_chars"].cast("string"))), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    """Order-sensitive digests of blocks of 500 numbers; equal lists of digests mean equal tables."""
+    rows = docs(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("block"), F.struct("doc_id", F.md5("text").alias("m")).alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["m"])), "\n")
+    return rows.groupBy("block").agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("n"))
 
 
 @query("SELECT source, n, round(n / sum(n) OVER (), 6) AS share, row_number() OVER (ORDER BY n DESC, source) AS rank FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
