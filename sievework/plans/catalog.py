@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import corpus, pairs, tables  # noqa: F401
+from . import audits, corpus, pairs, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
