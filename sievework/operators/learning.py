@@ -72,6 +72,71 @@ def translation_table(pairs: DataFrame, a: str, b: str, rounds: int, least: int
     return table.where("p >= 1e-4")
 
 
+def akin(a, b):
+    """Two forms near enough to be one word: five shared first letters, or one is the other and a letter."""
+    short, gap = F.least(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    prefix = (short >= 5) & (F.substring(a, 1, 5) == F.substring(b, 1, 5)) & (gap <= 3)
+    return (a == b) | prefix | ((short >= 3) & (gap <= 1) & (F.startswith(a, b) | F.startswith(b, a)))
+
+
+def contrasts(assoc: DataFrame, least: int, share: float, dice: float) -> DataFrame:
+    """(x, y, n, dice, verdict): each x with its best y; refused if the best x of that y is another word.
+
+    assoc comes from association(). The best has the greatest Dice, then share of the word's rows, then the
+    least edit distance, then the first text. A y without a best x is no evidence against a pair.
+    """
+    pairs = assoc.where(F.col("n") >= least).where(F.col("dice") >= dice)
+    rank = lambda s, other: F.struct(-F.round("dice", 9), -F.round(s, 9), F.levenshtein("x", "y"), other)
+    there, back = F.col("n") / F.col("seen_x"), F.col("n") / F.col("seen_y")
+    one = pairs.where(there >= share).groupBy("x").agg(F.min_by(F.struct("y", "n", "dice"), rank(there, "y")).alias("best")).select("x", "best.*")
+    two = pairs.where(back >= share).groupBy("y").agg(F.min_by("x", rank(back, "x")).alias("bx"))
+    differs = F.col("bx").isNotNull() & ~akin(F.col("bx"), F.col("x"))
+    return one.join(two, "y", "left").select("x", "y", "n", "dice", F.when(differs, "reverse differs").otherwise("admitted").alias("verdict"))
+
+
+def families(forms: DataFrame) -> DataFrame:
+    """(word, root) of (word, other): a form joins the first root, by length and alphabet, with its five first
+    letters, at most three letters shorter, whose counterpart has the same four first letters. Words of one
+    prefix are one bounded group."""
+    import pandas as pd
+
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+        roots, found = [], []
+        for word, other in sorted(zip(pdf["word"], pdf["other"]), key=lambda f: (len(f[0]), f[0])):
+            root = next((r for r, o in roots if len(r) >= 5 and len(word) - len(r) <= 3 and o[:4] == other[:4]), None)
+            if root is None:
+                roots.append((word, other))
+            found.append((word, root or word))
+        return pd.DataFrame(found, columns=["word", "root"])
+
+    return forms.dropDuplicates(["word"]).groupBy(F.substring("word", 1, 5).alias("prefix_")).applyInPandas(grouped, "word string, root string")
+
+
+def coverage(pairs: DataFrame, a: str, b: str, table: DataFrame, frequent: int = 50, least: int = 5, sure: float = 0.02) -> DataFrame:
+    """(id, scoreable, coverage): the share of b's frequent words that a holds, itself or by table (x, y, p).
+
+    Pairs with under `least` scoreable words have a null coverage; pairs with none are absent. Words of a are
+    joined with the table, so the sides are never multiplied.
+    """
+    asked = pairs.select("id", F.col(a).alias("xs"), F.explode(F.array_distinct(b)).alias("y"))
+    known = asked.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= frequent).select("y")
+    given = pairs.select("id", F.explode(F.array_distinct(a)).alias("x")).join(table.where(F.col("p") >= sure).select("x", "y"), "x")
+    given = given.select("id", "y").distinct().withColumn("by_table", F.lit(True))
+    marked = asked.join(known, "y").join(given, ["id", "y"], "left")
+    hit = F.avg((F.array_contains("xs", F.col("y")) | F.coalesce("by_table", F.lit(False))).cast("double"))
+    return marked.groupBy("id").agg(F.count("*").alias("scoreable"), hit.alias("share")).select("id", "scoreable", F.when(F.col("scoreable") >= least, F.col("share")).alias("coverage"))
+
+
+def f_score(stats: list[tuple[int, int, int]], beta: float = 2.0) -> float:
+    """Corpus chrF in percent from (matched, hypothesis total, reference total) of each order."""
+    used = [(m / h, m / r) for m, h, r in stats if h and r]
+    if not used:
+        return 0.0
+    precision, recall = (sum(v) / len(used) for v in zip(*used))
+    below = beta * beta * precision + recall
+    return 100 * (1 + beta * beta) * precision * recall / below if below else 0.0
+
+
 def ngram_matches(pairs: DataFrame, hyp: str, ref: str, most: int = 4) -> DataFrame:
     """(n, matched, total, hyp_len, ref_len): sums for corpus BLEU over token arrays, clipped a pair."""
     out = None

@@ -25,6 +25,12 @@ def tsv(spark: SparkSession, path: str, columns: list[str], policy: str = "skip"
     return raw.where(good).select(*fields)
 
 
+def fields(column: str, columns: list[str]) -> list:
+    """The column's tab-separated fields by name; null if their number is another."""
+    f = F.split(column, "\t", -1)
+    return [F.when(F.size(f) == len(columns), F.get(f, F.lit(i))).alias(c) for i, c in enumerate(columns)]
+
+
 def clips(spark: SparkSession, path: str) -> DataFrame:
     """(clip, text, lang) of rows with two or three fields; lang is null where there is none."""
     raw = spark.read.text(path).select(F.split("value", "\t", -1).alias("f")).where(F.size("f").isin(2, 3))
