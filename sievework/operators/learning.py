@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import char_ngrams, col
 
@@ -63,12 +65,10 @@ def translation_table(pairs: DataFrame, a: str, b: str, rounds: int, least: int
     together = cooccurrence(pairs, a, b, least)
     flat = flat.join(together.select("x", "y"), ["x", "y"])
     table = together.select("x", "y", F.lit(1.0).alias("p"))
-    for _ in range(rounds):
-        weighed = flat.join(table, ["x", "y"])
-        total = weighed.groupBy("id", "at").agg(F.sum("p").alias("z"))
-        share = weighed.join(total, ["id", "at"]).groupBy("x", "y").agg(F.sum(F.col("p") / F.col("z")).alias("c"))
-        norm = share.groupBy("x").agg(F.sum("c").alias("cx"))
-        table = share.join(norm, "x").select("x", "y", (F.col("c") / F.col("cx")).alias("p"))
+    for _ in range(rounds):  # window sums: a round refers to the one before once, so the plan grows by rounds and not by powers
+        weighed = flat.join(table, ["x", "y"]).withColumn("z", F.sum("p").over(Window.partitionBy("id", "at")))
+        share = weighed.groupBy("x", "y").agg(F.sum(F.col("p") / F.col("z")).alias("c"))
+        table = share.select("x", "y", (F.col("c") / F.sum("c").over(Window.partitionBy("x"))).alias("p"))
     return table.where("p >= 1e-4")
 
 
@@ -98,7 +98,6 @@ def families(forms: DataFrame) -> DataFrame:
     """(word, root) of (word, other): a form joins the first root, by length and alphabet, with its five first
     letters, at most three letters shorter, whose counterpart has the same four first letters. Words of one
     prefix are one bounded group."""
-    import pandas as pd
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         roots, found = [], []
@@ -151,6 +150,35 @@ def ngram_matches(pairs: DataFrame, hyp: str, ref: str, most: int = 4) -> DataFr
     return out.join(F.broadcast(sizes))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def bleu_row(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Ten sums of one pair of token arrays: matched and total of orders 1 to 4, and both lengths; null counts as empty."""
+    from collections import Counter
+
+    def one(h, r):
+        h, r = ([] if h is None else list(h)), ([] if r is None else list(r))
+        grams = [[Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for n in range(1, 5)] for x in (h, r)]
+        met = [float((a & b).total()) for a, b in zip(*grams)]
+        return [*met, *(float(a.total()) for a in grams[0]), float(len(h)), float(len(r))]
+
+    return pd.Series([one(h, r) for h, r in zip(hyp, ref)])
+
+
+def bleu_sums(c: str) -> list[Column]:
+    """Aggregates of the ten sums of bleu_row()."""
+    return [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(10)]
+
+
+def bleu_of(c: str) -> Column:
+    """Corpus BLEU in percent of the columns of bleu_sums()."""
+    v = [F.col(f"{c}{i}") for i in range(10)]
+    logs = sum((F.ln(v[i] / v[i + 4]) for i in range(4)), F.lit(0.0)) / 4
+    whole = v[8] > 0
+    for x in v[:8]:
+        whole = whole & (x > 0)
+    return F.when(whole, 100 * F.exp(F.least(F.lit(0.0), 1 - v[9] / v[8]) + logs)).otherwise(0.0)
+
+
 def bleu(stats: list[tuple[int, int]], hyp_len: int, ref_len: int) -> float:
     """Corpus BLEU in percent from (matched, total) of each order."""
     import math
@@ -195,3 +223,41 @@ def average_linkage(vectors, threshold: float = 0.30) -> list[int]:
         for i in g:
             out[i] = k
     return out
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query, id, cosine, place): the k rows (id, vector) nearest to each query by cosine, itself left out.
+
+    Exact and in blocks: queries and rows are cut by hash into blocks of about `block`, each pair of blocks is
+    one bounded multiplication that returns k rows a query, and the best of those are ranked. A zero or null
+    vector has cosine 0 with every other. Cosines are rounded to six places, ties go to the smaller id.
+    """
+    import math
+
+    import numpy as np
+
+    parts = [max(1, math.ceil(df.count() / block)) for df in (queries, rows)]
+    cut = lambda df, n: df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = cut(queries, parts[0]).select("id", "vector", F.col("b").alias("qb"), spread(parts[1]).alias("rb"))
+    given = cut(rows, parts[1]).select("id", "vector", F.col("b").alias("rb"), spread(parts[0]).alias("qb"))
+
+    def unit(vectors) -> np.ndarray:
+        size = max((len(v) for v in vectors if v is not None), default=1)
+        m = np.array([np.zeros(size) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), size)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm == 0, 1, norm)
+
+    def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            ids = r["id"].to_numpy()
+            near = np.round(unit(list(q["vector"])) @ unit(list(r["vector"])).T, 6)
+            for i, line in zip(q["id"], near):
+                best = np.lexsort((ids, -line))[: k + 1]
+                out += [(i, ids[j], line[j]) for j in best if ids[j] != i][:k]
+        return pd.DataFrame(out, columns=["query", "id", "cosine"])
+
+    met = asked.groupBy("qb", "rb").cogroup(given.groupBy("qb", "rb")).applyInPandas(multiply, "query long, id long, cosine double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
+    return met.withColumn("place", place.cast("long")).where(F.col("place") <= k)

@@ -36,6 +36,33 @@ def ratio_interval(stats: DataFrame, cluster: str, num: str, den: str, rounds: i
     return whole.join(F.broadcast(spread))  # one row by one row
 
 
+def bleu_gap(rows: DataFrame, cluster: str, a: str, b: str, rounds: int = 1000, seed: int = 41) -> DataFrame:
+    """One row (gap, lo, hi, p): corpus BLEU of arm b less that of arm a, with sentences resampled for both at once.
+
+    a and b are columns of learning.bleu_row(). Sums are resampled as in ratio_interval().
+    """
+    from .learning import bleu_of, bleu_sums
+
+    names = [f"{arm}{i}" for arm in "ab" for i in range(10)]
+
+    def partial(batches):
+        total = np.zeros((rounds, 20))
+        for pdf in batches:
+            for key, x, y in zip(pdf["k"], pdf["a"], pdf["b"]):
+                times = np.random.default_rng([seed, zlib.crc32(str(key).encode())]).poisson(1.0, rounds)
+                total += np.outer(times, np.concatenate([x, y]))
+        yield pd.DataFrame(total, columns=names).assign(round=np.arange(rounds))
+
+    flat = rows.select(F.col(cluster).cast("string").alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
+    schema = ", ".join(f"{n} double" for n in names) + ", round long"
+    drawn = flat.mapInPandas(partial, schema).groupBy("round").agg(*(F.sum(n).alias(n) for n in names))
+    gaps = drawn.select((bleu_of("b") - bleu_of("a")).alias("v"))
+    p = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("v") <= 0).cast("double")), F.avg((F.col("v") >= 0).cast("double"))))
+    spread = gaps.agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"), p.alias("p"))
+    whole = flat.agg(*bleu_sums("a"), *bleu_sums("b")).select((bleu_of("b") - bleu_of("a")).alias("gap"))
+    return whole.join(F.broadcast(spread))  # one row by one row
+
+
 def power(targets: DataFrame, gaps: list[float], base: float = 0.10, miss: float = 0.30, trials: int = 200, rounds: int = 400, seed: int = 5) -> DataFrame:
     """(gap, found): the share of trials in which a planted gap between two listeners has p < 0.05.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import audits, cohorts, corpus, pairs, tables  # noqa: F401
+from . import audits, cohorts, corpus, pairs, selections, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

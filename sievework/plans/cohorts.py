@@ -227,7 +227,8 @@ def pair_verdict(spark, sf):
     """Numbers disagree, one side was never translated, words do not correspond: first verdict wins. Greedy number comparison has no SQL."""
     rows = pairs(spark, sf)
     t = rows.select("id", F.array_distinct(tokens("a")).alias("xs"), F.array_distinct(tokens("b")).alias("ys"))
-    scored = learning.coverage(t, "xs", "ys", learning.translation_table(t, "xs", "ys", 2), frequent=5, least=5)
+    trusted = t.where("size(xs) BETWEEN 1 AND 45 AND size(ys) BETWEEN 1 AND 45")  # as many words as a row of the table's training may have
+    scored = learning.coverage(t, "xs", "ys", learning.translation_table(trusted, "xs", "ys", 2), frequent=5, least=5)
     odd = numeric.numbers_disagree(text.numeric_values("a"), text.numeric_values("b"))
     verdict = F.when(odd, "numbers_disagree").when(text.jaccard(tokens("a"), tokens("b")) >= 0.8, "not_translated").when(F.col("coverage") < 0.15, "words_do_not_correspond").otherwise("kept")
     return rows.join(scored, "id", "left").select("id", verdict.alias("verdict"), F.round("coverage", 6).alias("coverage"))

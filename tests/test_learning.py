@@ -84,3 +84,48 @@ def test_suppressed(stream):
     rows = stream.selectExpr("event_id AS id", "user_id AS rank")
     got = events.drain(stateful.suppressed(rows, F.lit("k"), "rank"), "sup").collect()
     assert sorted(r["id"] for r in got) == [0, 2, 4, 6]
+
+
+def test_bleu_rows_add_up_to_the_corpus(spark):
+    rows = [(1, "the cat sat on the mat today".split(), "the cat sat on a mat today".split()), (2, "a b c d e".split(), "a b c d f g".split()), (3, [], ["x"])]
+    df = spark.createDataFrame(rows, "id int, hyp array<string>, ref array<string>")
+    got = df.select(learning.bleu_row("hyp", "ref").alias("s")).agg(*learning.bleu_sums("s")).select(learning.bleu_of("s")).first()[0]
+    found = learning.ngram_matches(df, "hyp", "ref").orderBy("n").collect()
+    assert got == pytest.approx(learning.bleu([(r["matched"], r["total"]) for r in found], found[0]["hyp_len"], found[0]["ref_len"])) and got > 0
+
+
+def test_bleu_gap(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, words[i % 5 : i % 5 + 12]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, ref array<string>")
+    arms = df.select("id", learning.bleu_row(F.slice("ref", 1, 8), "ref").alias("s"), learning.bleu_row("ref", "ref").alias("t"))
+    one, many = (resample.bleu_gap(arms.repartition(k), "id", "s", "t", 100).first() for k in (1, 5))
+    assert one["lo"] <= one["gap"] <= one["hi"] and one["p"] == 0 and one["gap"] > 10
+    assert tuple(one) == pytest.approx(tuple(many))
+
+
+def test_nearest_in_blocks_is_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(60)}
+    vectors[7], vectors[8], vectors[9] = [0.0] * 4, None, vectors[3]
+    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or not any(a) or not any(b):
+            return 0.0
+        a, b = np.array(a), np.array(b)
+        return round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6) + 0.0
+
+    want = {q: sorted(((-cosine(vectors[q], v), i) for i, v in vectors.items() if i != q))[:3] for q in range(0, 60, 20)}
+    rows = learning.nearest(df.where("id % 20 = 0"), df, 3, block=16).collect()
+    assert {(r["query"], r["place"], r["id"]) for r in rows} == {(q, k + 1, i) for q, best in want.items() for k, (_, i) in enumerate(best)}
+    assert learning.nearest(df.where("false"), df, 3).count() == 0
+
+
+def test_translation_table_of_many_rounds(spark):
+    rows = [(1, ["kuća", "velika"], ["house", "big"]), (2, ["kuća"], ["house"]), (3, ["velika"], ["big"])] * 2
+    df = spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(rows)], "id int, xs array<string>, ys array<string>")
+    got = {(r["x"], r["y"]): r["p"] for r in learning.translation_table(df, "xs", "ys", 6).collect()}
+    assert got["kuća", "house"] > 0.95 and got["velika", "big"] > 0.95
