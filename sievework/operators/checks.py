@@ -62,3 +62,28 @@ def shard_union(shards: DataFrame, whole: DataFrame, key: str, bounds: DataFrame
     missing = whole.select("pos", key).exceptAll(shards.select("pos", key))
     count = lambda df, name: check(df.agg(F.count("*").alias("n")), name, F.col("n") == 0, F.col("n"))
     return count(wrong, "sizes").unionByName(count(moved, "moved")).unionByName(count(missing, "missing")).unionByName(unique(shards, [key], "duplicate_sources"))
+
+
+def matched_share(df: DataFrame, registry: DataFrame, key: str, name: str, least: float = 0.80) -> DataFrame:
+    """At least that share of the expected keys is met: a change of names shows as a low share. None expected fails."""
+    expected = registry.select(key).distinct()
+    met = expected.join(df.select(key).distinct().withColumn("met_", F.lit(1.0)), key, "left").agg(F.coalesce(F.avg(F.coalesce("met_", F.lit(0.0))), F.lit(0.0)).alias("share"))
+    return check(met, name, F.col("share") >= least, F.round("share", 4))
+
+
+def same_records(a: DataFrame, b: DataFrame, key: str, name: str) -> DataFrame:
+    """Both frames hold the same records of every key that is on either side; columns are compared by name."""
+    row = lambda df, to: df.select(key, F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}), 256).alias(to))
+    wrong = row(a, "x_").join(row(b, "y_"), key, "full").where("NOT (x_ <=> y_)")
+    return check(wrong.agg(F.count("*").alias("n")), name, F.col("n") == 0, F.col("n"))
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the rows, whatever their order, under which results may be cached: 16 sums of hash parts and the count."""
+    text = F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"})
+    h = F.sha2(text, 256)
+    part = lambda i: F.sum(F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("long")).alias(f"p{i}")
+    row = df.agg(F.count("*").alias("n"), *(part(i) for i in range(16))).first()
+    import hashlib
+
+    return hashlib.sha256(",".join(str(v) for v in row).encode()).hexdigest()

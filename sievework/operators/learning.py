@@ -117,13 +117,13 @@ def coverage(pairs: DataFrame, a: str, b: str, table: DataFrame, frequent: int =
     Pairs with under `least` scoreable words have a null coverage; pairs with none are absent. Words of a are
     joined with the table, so the sides are never multiplied.
     """
-    asked = pairs.select("id", F.col(a).alias("xs"), F.explode(F.array_distinct(b)).alias("y"))
+    asked = pairs.select("id", F.explode(F.array_distinct(b)).alias("y"))
     known = asked.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= frequent).select("y")
-    given = pairs.select("id", F.explode(F.array_distinct(a)).alias("x")).join(table.where(F.col("p") >= sure).select("x", "y"), "x")
-    given = given.select("id", "y").distinct().withColumn("by_table", F.lit(True))
-    marked = asked.join(known, "y").join(given, ["id", "y"], "left")
-    hit = F.avg((F.array_contains("xs", F.col("y")) | F.coalesce("by_table", F.lit(False))).cast("double"))
-    return marked.groupBy("id").agg(F.count("*").alias("scoreable"), hit.alias("share")).select("id", "scoreable", F.when(F.col("scoreable") >= least, F.col("share")).alias("coverage"))
+    words = pairs.select("id", F.explode(F.array_distinct(a)).alias("x"))
+    named = words.join(table.where(F.col("p") >= sure).join(known, "y", "left_semi").select("x", "y"), "x").select("id", "y")
+    given = named.unionByName(words.withColumnRenamed("x", "y")).distinct().withColumn("held", F.lit(1.0))
+    marked = asked.join(known, "y", "left_semi").join(given, ["id", "y"], "left")
+    return marked.groupBy("id").agg(F.count("*").alias("scoreable"), F.avg(F.coalesce("held", F.lit(0.0))).alias("share")).select("id", "scoreable", F.when(F.col("scoreable") >= least, F.col("share")).alias("coverage"))
 
 
 def f_score(stats: list[tuple[int, int, int]], beta: float = 2.0) -> float:

@@ -8,7 +8,7 @@ from sievework.sources import readers, writers
 from sievework.streaming import events
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["filter_report", "dedup_exact_keep_first", "rare_token_candidates", "shard_bounds", "pair_reasons", "association_dice", "label_cohesion", "budget_prefix", "session", "category_bfs", "star_rollup"]
+NAMES = ["filter_report", "dedup_exact_keep_first", "rare_token_candidates", "shard_bounds", "pair_reasons", "association_dice", "label_cohesion", "budget_prefix", "session", "category_bfs", "star_rollup", "marker_vote", "block_vote", "term_quota", "proximity_pairs", "batch_merge", "gate_log", "contrast_mining", "lexical_coverage", "knn_topk", "progress_state"]
 
 
 def test_entry_has_rows(spark):
@@ -65,3 +65,19 @@ def test_stream_counts_as_batch(spark, tmp_path):
     stream = events.event_stream(spark, str(tmp_path / "in"), rows.schema, 10)
     got = events.drain(events.windowed(stream, late="60 days"), "w_counts", "complete")
     assert got.agg({"n": "sum"}).first()[0] == rows.count()
+
+
+def test_checks_of_names_and_records(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(None, 2), ("x", 1)], "v string, k int")
+    ok = lambda df: df.first()["ok"]
+    assert ok(checks.same_records(a, b, "k", "same")) and not ok(checks.same_records(a, b.where("k = 1"), "k", "same"))
+    assert checks.fingerprint(a) == checks.fingerprint(b.repartition(3)) != checks.fingerprint(a.union(a))
+    assert ok(checks.matched_share(a, a, "k", "names")) and not ok(checks.matched_share(a.where("k = 1"), a, "k", "names")) and not ok(checks.matched_share(a, a.where("false"), "k", "names"))
+
+
+def test_aligned_sides(spark, tmp_path):
+    rows = [(i, f"a{i}", f"b{i}\nx" if i % 2 else None) for i in range(40)]
+    writers.aligned(spark.createDataFrame(rows, "i int, bs string, en string"), str(tmp_path / "out"), "bs", "en", "i")
+    read = lambda side: [line for f in sorted((tmp_path / "out" / f"side={side}").glob("*.txt")) for line in f.read_text().splitlines()]
+    assert read("bs") == [r[1] for r in rows] and read("en") == [(r[2] or "").replace("\n", " ") for r in rows]
