@@ -25,3 +25,11 @@ def test_stages_take_effect(spark, tmp_path, docs, rows):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in now.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
     assert [stage(spark, docs.limit(0), sf).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_decontaminate_removes_rows_not_numbers(spark, tmp_path):
+    bad = "needle in a hay stack that is long enough to find"
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bad), (None, "clean one"), (5, "so " + bad), (5, "clean two"), (6, "clean three")]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), str(tmp_path))
+    assert {r.text for r in got.collect()} == {"clean one", "clean two", "clean three"}
