@@ -142,4 +142,4 @@ def bleu_significance(spark, sf):
     """Two arms on the same rows: one writes the pair's other side, one the same without its last word."""
     rows = pairs(spark, sf).select("id", tokens("a").alias("ref"), tokens("b").alias("y"))
     cut = F.slice("y", 1, F.greatest(F.size("y") - 1, F.lit(0)))
-    return resample.bleu_gap(rows.select("id", learning.bleu_row(cut, "ref").alias("s"), learning.bleu_row("y", "ref").alias("t")), "id", "s", "t", 200)
+    return resample.bleu_gap(rows.select("id", learning.bleu_row(cut, "ref").alias("s"), learning.bleu_row("y", "ref").alias("t")), "id", "s", "t")
