@@ -3,7 +3,8 @@
 A task writes under `<folder>/_temporary` with a name of its own and reports a manifest row. The rows are
 kept by Spark's own commit, so a repeated or lost attempt leaves no row. Only then are files renamed, in
 tasks, to the names that the manifest gives; renaming again is harmless. Readers go by the manifest.
-Shards are contiguous ranges of a key with bounds that depend on the data only.
+Shards are contiguous ranges of (key, tie) with bounds that depend on the data only. A task writes a run of
+shards, so the number of tasks does not grow without end.
 """
 
 from __future__ import annotations
@@ -13,57 +14,75 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 MANIFEST = "shard int, part int, name string, temporary string, bytes long, records long, items long, sha256 string"
-#: Buckets that a range of keys is cut into while bounds are searched.
-CELLS = 4096
+#: Distinct (key, tie) that one task sums, and the most tasks that write.
+CELLS, TASKS = 1 << 20, 1 << 15
+#: The most shards; beyond them shards grow, so that their bounds, 16 bytes each, stay within 8 MB.
+SHARDS = 1 << 19
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def range_bounds(df: DataFrame, key: Column, weight: Column, target: int) -> np.ndarray:
-    """Ascending keys at which a new shard begins, so that shards weigh about target.
+class Bounds:
+    """Ascending (key, tie) at which a new shard begins; before the first lies shard 0."""
 
-    Keys are counted in CELLS equal cells of their range; a cell that weighs over a quarter of target is
-    counted again in smaller cells, down to single keys. A few numbers a cell reach the driver: shards
-    times a constant, whatever the number of rows.
+    def __init__(self, keys: np.ndarray, ties: np.ndarray):
+        self.packed = _packed(keys, ties)
+
+    def shard(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.packed, _packed(keys, ties), "right").astype(np.int32)
+
+    @property
+    def shards(self) -> int:
+        return len(self.packed) + 1
+
+
+def _packed(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Pairs of longs as 16 bytes each that compare as the pairs do."""
+    pairs = np.stack([np.asarray(keys, np.int64), np.asarray(ties, np.int64)], 1).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(pairs.astype(">u8")).view("S16").ravel()
+
+
+def range_bounds(df: DataFrame, key: Column, tie: Column, weight: Column, target: int) -> Bounds:
+    """Bounds of shards that weigh about target: at most target and one (key, tie) more.
+
+    Weights are summed by (key, tie), sorted by range and summed up from the least; a shard begins where the
+    sum passes a multiple of target. So bounds depend on the rows alone, whatever their number and however
+    keys clump, and rows of one key with different ties can go to different shards. Only bounds reach the
+    driver, and a number for each CELLS distinct (key, tie).
     """
-    lo, hi, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    if lo is None or not total:
-        return np.zeros(0, np.int64)
-    done: list[tuple[int, int]] = []
-    todo = [(int(lo), int(hi))]
-    while todo:
-        width = [max(1, -(-(b - a + 1) // max(2, CELLS // len(todo)))) for a, b in todo]
-        at, cell = F.lit(-1), F.lit(0).cast("long")
-        for k, (a, b) in enumerate(todo):
-            inside = key.between(F.lit(a), F.lit(b))
-            at = F.when(inside, F.lit(k)).otherwise(at)
-            cell = F.when(inside, F.floor((key.cast("decimal(38,0)") - F.lit(a).cast("decimal(38,0)")) / F.lit(width[k]).cast("decimal(38,0)")).cast("long")).otherwise(cell)
-        found = df.select(at.alias("r"), cell.alias("c"), weight.alias("w")).where("r >= 0").groupBy("r", "c").agg(F.sum("w").alias("w")).collect()
-        ranges, todo = todo, []
-        for r, c, w in found:
-            a = ranges[r][0] + c * width[r]
-            if w > target / 4 and width[r] > 1:
-                todo.append((a, min(ranges[r][1], a + width[r] - 1)))
-            else:
-                done.append((a, w))
-        if len(todo) > CELLS // 4:  # cells of over a quarter each: their number is at most 4 total / target
-            done += [(a, target // 4) for a, _ in todo]
-            todo = []
-    bounds, held = [], 0
-    for a, w in sorted(done):
-        if held and held + w > target:
-            bounds.append(a)
-            held = 0
-        held += w
-    return np.array(bounds, np.int64)
+    cells = df.select(key.cast("long").alias("n"), tie.cast("long").alias("h"), weight.cast("long").alias("w")).groupBy("n", "h").agg(F.sum("w").alias("w"))
+    cells = shared.materialize(cells, "bounds-cells")
+    count, total = cells.agg(F.count("*"), F.sum("w")).first()
+    if not total:
+        return Bounds(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    target = max(target, -(-total // SHARDS))
+    # written once, so that every use sees the same cut into ranges
+    ranged = shared.materialize(cells.repartitionByRange(-(-count // CELLS), "n", "h").withColumn("p", F.spark_partition_id()), "bounds-ranged")
+    sums = dict(ranged.groupBy("p").agg(F.sum("w")).collect())  # a row for each CELLS cells
+    order, before, base = sorted(sums), 0, []
+    for p in order:
+        base.append((p, before))
+        before += sums[p]
+    bases = df.sparkSession.createDataFrame(base, "p int, base long")
+    run = F.sum("w").over(Window.partitionBy("p").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1))
+    begun = ranged.join(F.broadcast(bases), "p").select("n", "h", F.floor((F.col("base") + F.coalesce(run, F.lit(0))) / F.lit(target)).cast("long").alias("s"))
+    first = begun.groupBy("s").agg(F.min(F.struct("n", "h")).alias("x")).orderBy("s").select("x.n", "x.h").toArrow()
+    return Bounds(first["n"].to_numpy()[1:], first["h"].to_numpy()[1:])
+
+
+def by_range(rows: DataFrame, shards: int, *order) -> DataFrame:
+    """rows, with their column shard, in tasks of consecutive shards, each in order."""
+    tasks = max(1, min(shards, TASKS))
+    task = F.floor(F.col("shard").cast("long") * tasks / F.lit(max(1, shards))).cast("int")
+    return rows.repartitionById(tasks, task).sortWithinPartitions("shard", *order)
 
 
 class TemporaryFile:
@@ -115,8 +134,3 @@ def commit(manifest: DataFrame, folder: str) -> DataFrame:
     manifest.mapInArrow(work, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
     shared.delete_path(spark, f"{folder}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
-
-
-def by_shard(manifest: DataFrame, shards: int) -> DataFrame:
-    """The manifest with the files of each shard in one task, in order."""
-    return manifest.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard", "part")

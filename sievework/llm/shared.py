@@ -6,6 +6,7 @@ import ctypes
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ def ready(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a local folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and driver and
+    executors are one process, as in tests, a local folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {master} has no common disk")
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -54,11 +58,42 @@ def tidy() -> None:
         trim(0)
 
 
+#: Paths of tables written inside each open scratch().
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes inside are deleted at the end, but for those passed to the yielded function.
+
+    What leaves the block must be such a table, or not depend on the others.
+    """
+    mine: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._shared_path)
+        return df
+
+    _SCOPES.append(mine)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            if path not in kept:
+                delete_path(spark, path)
+            elif _SCOPES:
+                _SCOPES[-1].append(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and the size is known."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

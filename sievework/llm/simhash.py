@@ -1,14 +1,22 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming distance.
 
-A pair within distance r differs in at most r of m > r blocks of bits, so it agrees on some m - r blocks:
-each fingerprint goes to one shard for each choice of blocks, a shard holding those at block distance 0.
-Inside a shard a vantage-point tree finds exact pairs, pruning branches by triangle bounds, and a query
-whose bound overlaps both sides visits both. (Shards cut by distance over all 64 bits would overlap at
-radius 4 by about two thirds a level; by blocks only r of m copies are needed, and nothing is missed.)
-The blocks' count follows the number of fingerprints, so that shards stay small at any size.
-
-Exact copies share a fingerprint and are one point, whatever their number. A shard returns a star for
-each of its components, never all pairs of a group; stars meet in a distributed component search.
+Fingerprints are cut into shards by vantage-point trees: a node halves its points by their Hamming distance
+from a vantage point, and a leaf is a shard. Every fingerprint lies in one shard of a tree, and is sent as a
+query to the shards that the triangle bound cannot rule out: where its distance from a vantage point is
+within the search radius of the cut, both sides are visited. Inside a shard another such tree, of all its
+points, finds exact pairs.
+
+Over all 64 bits random fingerprints lie within 4 of the cut at two levels of three, so nearly everything
+would be sent everywhere. But a pair within 4 bits is within 1 bit over some third of the bits: so there
+are three trees, each over the distances of a third, searched with radius 1, where a query meets both
+sides at one level of three. Whatever a tree proposes is compared over all bits. In general radius // 2 + 1
+trees search with radius 1.
+
+Vantage points come from a sample of at most about SAMPLE fingerprints, which changes the cost, never the
+result. A pair of different shards is sought once, in the later shard. Exact copies share a fingerprint and
+are one point, whatever their number; dense balls are merged first; a shard that is larger than SHARD is cut
+into parts, each of which goes to the parts after it. A shard returns a star for each of its components,
+never all pairs of a group; stars meet in a distributed component search.
 
 Cases: null and wordless texts have fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; null keys take part and get their component's least key (null if it has none);
@@ -18,8 +26,6 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from . import shared, vptree
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Mean fingerprints a shard that the number of blocks is chosen for.
-SHARD = 4096
+#: Fingerprints that vantage points are chosen from, and the most that one task holds of a shard.
+SAMPLE, SHARD = 1 << 16, 1 << 20
+#: The most tasks.
+TASKS = 1 << 15
 PART = 1 << 14
 
 
@@ -69,55 +77,105 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, "fp long")).withColumnRenamed("k", key)
 
 
-def block_choices(n: int, radius: int = RADIUS) -> list[int]:
-    """Masks of the agreeing blocks; more blocks, with longer keys, for more fingerprints."""
-    for m in range(radius + 1, 2 * radius + 1):
-        if n / 2 ** (64 * (m - radius) // m) <= SHARD:
-            break
+def masks(radius: int = RADIUS) -> list[int]:
+    """The bits of each tree: a pair within radius is within 1 over some of these."""
+    m = radius // 2 + 1
     cuts = [64 * k // m for k in range(m + 1)]
-    blocks = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(m)]
-    return [sum(c) for c in combinations(blocks, m - radius)]
+    return [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(m)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _placed(points: DataFrame, trees: list[vptree.Tree], parts: dict[int, int] | None) -> DataFrame:
+    """(shard, home, fp): each point's shard of each tree and the later ones that it is a query of.
 
+    parts has the number of parts of each shard and the number of its first; without it only homes are given.
+    """
+    first = np.cumsum([0] + [len(t.members) for t in trees])
 
-def links(points: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """Stars (fp, root) of each shard's components; points has distinct fp."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_choices(count, radius)])
-    sharded = points.select("fp", F.posexplode(masks).alias("choice", "mask"))
-    sharded = sharded.select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("cell"), "fp")
-    parts = max(points.sparkSession.sparkContext.defaultParallelism, count * 5 // 200_000 + 1)
-    sharded = sharded.repartition(parts, "choice", "cell").sortWithinPartitions("choice", "cell")
+    def work(batches):
+        for b in batches:
+            fp = np.asarray(b.column(0), np.int64)
+            own = fp.view(np.uint64)
+            salt = shared.mix64(own)
+            out = []
+            for tree, base in zip(trees, first.tolist()):
+                homes = tree.homes(own)
+                if parts is None:
+                    out.append((homes + base, np.ones(len(fp), bool), fp))
+                    continue
+                for leaf, who in tree.visits(own):
+                    who = who[homes[who] <= leaf]
+                    at, count = parts.get(base + leaf, (0, 0))
+                    mine = (salt[who] % np.uint64(max(1, count))).astype(np.int64)
+                    for part in range(count):
+                        here = (homes[who] < leaf) | (mine <= part)
+                        go = who[here]
+                        out.append((np.full(len(go), at + part), (homes[go] == leaf) & (mine[here] == part), fp[go]))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out)]
+                for a in range(0, len(cols[0]), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], ["shard", "home", "fp"])
+
+    return points.select("fp").mapInArrow(work, "shard long, home boolean, fp long")
+
+
+def links(points: DataFrame, count: int, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Stars (fp, root) of each shard's components and of what visits them; points has distinct fp."""
+    spark = points.sparkSession
+    some = points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, count // sample))) == 0).select("fp").toArrow()["fp"].to_numpy().astype(np.int64)
+    some = np.sort(some.view(np.uint64))
+    shards = max(spark.sparkContext.defaultParallelism, -(-2 * count // shard))
+    trees = [vptree.Tree(some, m, 1, max(1, len(some) // shards), k) for k, m in enumerate(masks(radius))]
+    sizes = dict(_placed(points, trees, None).groupBy("shard").agg(F.count("*")).collect())  # a row a shard
+    parts, total = {}, 0
+    for s in range(sum(len(t.members) for t in trees)):
+        parts[s] = (total, max(1, -(-sizes.get(s, 0) // shard)))
+        total += parts[s][1]
+    which = np.repeat(np.arange(len(trees)), [sum(parts[s][1] for s in range(sum(len(t.members) for t in trees[:k]), sum(len(t.members) for t in trees[: k + 1]))) for k in range(len(trees))])
+    bits = masks(radius)
+    tasks = max(1, min(total, TASKS))
+    rows = _placed(points, trees, parts)
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(max(1, total))).cast("int")).sortWithinPartitions("shard", F.desc("home"))
 
     def work(batches):
-        held = None
+        own, shard, held = None, None, []
         for b in batches:
-            x = np.stack([np.asarray(b.column(c), np.int64) for c in ("choice", "cell", "fp")])
-            held = x if held is None else np.concatenate([held, x], 1)
-            cut = np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(0)) + 1
-            if len(cut):
-                yield from _stars(held[2, : cut[-1]], cut[:-1], radius)
-                held = held[:, cut[-1] :]
-        if held is not None and held.shape[1]:
-            yield from _stars(held[2], np.zeros(0, np.int64), radius)
-
-    return sharded.mapInArrow(work, "fp long, root long").distinct()
-
-
-def _stars(fps: np.ndarray, cuts: np.ndarray, radius: int):
-    out = []
-    for group in np.split(fps, cuts):
-        if len(group) > 1:
-            group = np.sort(group)
-            root = vptree.components(group.view(np.uint64), radius)
-            moved = np.flatnonzero(root != np.arange(len(group)))
-            if len(moved):
-                out.append(np.stack([group[moved], group[root[moved]]]))
-    if out:
-        both = np.concatenate(out, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["fp", "root"])
+            at, home, fp = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2), np.int64).view(np.uint64)
+            for i, j in _runs(at, home):
+                if at[i] != shard:
+                    if held:
+                        yield from _home(vptree.Shard(np.concatenate(held), radius, bits[which[shard]], 1))
+                    own, shard, held = None, int(at[i]), []
+                if home[i]:
+                    held.append(fp[i:j])
+                    continue
+                if held:
+                    own, held = vptree.Shard(np.concatenate(held), radius, bits[which[shard]], 1), []
+                    yield from _home(own)
+                if own is not None:
+                    met = own.visitors(fp[i:j])
+                    yield from _star(fp[i:j][met[:, 0]], own.points[met[:, 1]])
+        if held:
+            yield from _home(vptree.Shard(np.concatenate(held), radius, bits[which[shard]], 1))
+
+    return rows.mapInArrow(work, "fp long, root long").distinct()
+
+
+def _runs(at: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows of one shard that are all homes, or all queries."""
+    if not len(at):
+        return []
+    cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(at)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _star(fps: np.ndarray, roots: np.ndarray):
+    if len(fps):
+        yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(roots.view(np.int64))], ["fp", "root"])
+
+
+def _home(own: vptree.Shard):
+    moved = np.flatnonzero(own.label != np.arange(len(own.label)))
+    yield from _star(own.points[moved], own.points[own.label[moved]])
 
 
 def connected(edges: DataFrame, label: str) -> DataFrame:

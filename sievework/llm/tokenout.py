@@ -12,8 +12,9 @@ a list of the differences that do not fit. A file is
 so that any block, hence any document, is found without reading what is before it.
 
 Cases: a null or empty text is its end id alone; a null document number is written last and comes back
-null; rows that share a number follow each other in order of their digest; an empty table writes no
-files; other columns are ignored, whatever their names.
+null; rows that share a number follow each other in order of a hash of the text, and may go to several
+files; a number is cast to long, and one that cannot be fails in ANSI mode or else is null; an empty table
+writes no files; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,25 +113,28 @@ def decode(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out[np.arange(BLOCK) < sizes[:, None]].astype(np.uint32)
 
 
-def encoded(docs: DataFrame, bounds: np.ndarray, text: str, key: str, path: str, end: int) -> DataFrame:
-    """(shard, doc, n, ids): each document's ids, little-endian, in two bytes where the vocabulary allows."""
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).cast("string").alias("t"))
+def _slim(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, h, t): the number, the text's tie, the text."""
+    t = F.col(text).cast("string")
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(t).alias("h"), t.alias("t"))
+
+
+def encoded(slim: DataFrame, bounds: archive.Bounds, path: str, end: int) -> DataFrame:
+    """(shard, doc, h, ids): each document's ids, little-endian, in two bytes where the vocabulary allows."""
 
     def work(batches):
         enc = tokens.encoder(path)
         for b in batches:
-            data, offs = shared.utf8_view(b.column(1))
-            raw, at, doc = data.tobytes(), offs.tolist(), np.asarray(b.column(0))
-            shard = np.searchsorted(bounds, doc, "right").astype(np.int32)
+            data, offs = shared.utf8_view(b.column(2))
+            raw, at, doc, h = data.tobytes(), offs.tolist(), np.asarray(b.column(0)), np.asarray(b.column(1))
+            shard = bounds.shard(doc, h)
             for i, j in shared.row_slices(offs, CHUNK):
                 ids, ends = enc.encode([raw[at[r] : at[r + 1]] for r in range(i, j)], end)
-                body = ids.astype(enc.dtype).tobytes()
-                wide = enc.dtype.itemsize
-                cells = [body[x * wide : y * wide] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), pa.array(doc[i:j]), pa.array(np.diff(ends)), pa.array(cells, pa.binary())], ["shard", "doc", "n", "ids"])
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends * enc.dtype.itemsize), pa.py_buffer(ids.astype(enc.dtype))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), pa.array(doc[i:j]), pa.array(h[i:j]), cells], ["shard", "doc", "h", "ids"])
         shared.tidy()
 
-    return slim.mapInArrow(work, "shard int, doc long, n long, ids binary")
+    return slim.mapInArrow(work, "shard int, doc long, h long, ids binary")
 
 
 class BlockFile:
@@ -175,10 +179,9 @@ class BlockFile:
 def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", path: str | None = None, end: int = END, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
     """Write docs to folder; the committed manifest and the number of shards."""
     path = path or tokens.default_path()
-    number = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    bounds = archive.range_bounds(docs, number, F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 64, shard_bytes)
-    rows = encoded(docs, bounds, text, key, path, end)
-    rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc", F.crc32("ids"), "ids")
+    slim = _slim(docs, text, key)
+    bounds = archive.range_bounds(slim, F.col("doc"), F.col("h"), F.coalesce(F.octet_length("t"), F.lit(0)) + 64, shard_bytes)
+    rows = archive.by_range(encoded(slim, bounds, path, end), bounds.shards, "doc", "h", "ids")
     dtype = tokens.encoder(path).dtype
 
     def work(batches):
@@ -196,7 +199,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id",
             yield archive.manifest_batch(done)
 
     manifest = shared.materialize(rows.mapInArrow(work, archive.MANIFEST), "tokens-manifest")
-    return archive.commit(manifest, folder), len(bounds) + 1
+    return archive.commit(manifest, folder), bounds.shards
 
 
 class Reader:
@@ -232,7 +235,7 @@ def read(manifest: DataFrame, shards: int, folder: str, payload: str = "crc") ->
     from pyspark.sql import Window
 
     before = F.sum("items").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))
-    files = archive.by_shard(manifest.select("shard", "part", "name", F.coalesce(before, F.lit(0)).alias("base")), shards)
+    files = archive.by_range(manifest.select("shard", "part", "name", F.coalesce(before, F.lit(0)).alias("base")), shards, "part")
 
     def work(batches):
         fs, root = archive.filesystem(folder)

@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are sorted by page number in shards that are contiguous ranges of it; a shard's file is rolled
-once its compressed size reaches a limit. Headers and digests are made anew from the payload; each record
+Records are sorted by page number in shards that are contiguous ranges of it; a shard's files are rolled
+once their compressed size reaches a limit. Headers and digests are made anew from the payload; each record
 is a gzip member of its own. A payload that another record holds in full is written as a revisit: the
 equal payloads' least page number is the response, the others refer to it. The same table gives the same
 bytes whatever the partitions, as names, bounds, dates and record ids depend on the rows only.
@@ -11,8 +11,9 @@ before its own small shuffle, and meets the payloads in the sorted shard, so tha
 of all rows makes no large task.
 
 Cases: a null payload is empty; payloads under MIN_REVISIT bytes are all responses; a null number counts
-as the largest and comes back as null; of rows that share number and payload the first is the response
-and the others revisit it; a null or empty url becomes `urn:page:<number>`; control characters and spaces
+as the largest and comes back as null; rows that share a number are written in order of a hash of the payload
+and may go to several shards, those that share the payload too to one, where the first is the response and
+the others revisit it; a number is cast to long, and one that cannot be fails in ANSI mode or else is null; a null or empty url becomes `urn:page:<number>`; control characters and spaces
 of a url are percent-encoded; an empty table gives an archive of no files; other columns are ignored.
 """
 
@@ -33,7 +34,7 @@ from . import archive, shared
 
 MIN_REVISIT = 100
 #: Payload bytes a shard, and compressed bytes at which its next file begins.
-SHARD_BYTES, ROLL_BYTES = 48 << 20, 24 << 20
+SHARD_BYTES, ROLL_BYTES = 48 << 20, 4 << 20
 LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 LAST = (1 << 63) - 1
@@ -74,37 +75,38 @@ def response(number: int, copy: int, url: str | None, payload: bytes, digest: st
 
 
 def revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """(n, digest, response) for the rows whose payload of at least `least` bytes occurs again."""
-    ids = shared.materialize(pages.select("n", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").alias("size")), "warc-ids").where(F.col("size") >= least)
+    """(n, h, digest, response) for the rows whose payload of at least `least` bytes occurs again; h is the payload's tie."""
+    ids = pages.where(F.octet_length("payload") >= least).select("n", F.xxhash64("payload").alias("h"), F.unhex(F.sha2("payload", 256)).alias("digest"))
+    ids = shared.materialize(ids, "warc-ids")
     # A digest cannot be summed and joined with one exchange here: the second key lets the join's own
     # exchanges be split where one digest has very many rows.
     twice = ids.groupBy("digest").agg(F.min("n").alias("response"), F.count("*").alias("c")).where("c > 1").drop("c")
     tag = F.crc32("digest")
-    return ids.withColumn("t", tag).join(twice.withColumn("t", tag), ["digest", "t"]).select("n", "digest", "response").distinct()
+    return ids.withColumn("t", tag).join(twice.withColumn("t", tag), ["digest", "t"]).select("n", "h", "digest", "response").distinct()
 
 
 def write(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str | None = "url", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = LEVEL, date: str = DATE) -> tuple[DataFrame, int]:
     """Write pages to folder; the committed manifest and the number of shards."""
     slim = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("n"), (F.col(url).cast("string") if url else F.lit(None).cast("string")).alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    bounds = archive.range_bounds(slim, F.col("n"), F.octet_length("payload") + 256, shard_bytes)
+    tie = F.xxhash64("payload").alias("h")
+    bounds = archive.range_bounds(slim, F.col("n"), tie, F.octet_length("payload") + 256, shard_bytes)
+    told = revisits(slim)
 
     @F.pandas_udf("int")
-    def shard_of(n: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, n.to_numpy(), "right").astype(np.int32))
+    def shard_of(n: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(bounds.shard(n.to_numpy(), h.to_numpy()))
 
     none = F.lit(None).cast("binary")
-    rows = slim.select("n", F.lit(1).alias("kind"), "url", "payload", none.alias("digest"), F.lit(None).cast("long").alias("response"))
-    told = revisits(slim).select("n", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), none.alias("payload"), "digest", "response")
-    rows = rows.unionByName(told).withColumn("shard", shard_of("n"))
-    order = ["shard", "n", "kind", F.sha2(F.coalesce("payload", F.lit(b"")), 256), "url"]
-    rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(*order)
+    rows = slim.select("n", tie, F.lit(1).alias("kind"), "url", "payload", none.alias("digest"), F.lit(None).cast("long").alias("response"))
+    rows = rows.unionByName(told.select("n", "h", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), none.alias("payload"), "digest", "response"))
+    rows = archive.by_range(rows.withColumn("shard", shard_of("n", "h")), bounds.shards, "n", "h", "kind", "payload", "url")
 
     def work(batches):
         out, done, number, told, seen, copies = None, [], None, {}, set(), {}
         for b in batches:
-            for n, kind, link, body, digest, first, shard in zip(*(b.column(c).to_pylist() for c in ("n", "kind", "url", "payload", "digest", "response", "shard"))):
-                if n != number:
-                    number, told, seen, copies = n, {}, set(), {}
+            for n, h, kind, link, body, digest, first, shard in zip(*(b.column(c).to_pylist() for c in ("n", "h", "kind", "url", "payload", "digest", "response", "shard"))):
+                if (n, h) != number:
+                    number, told, seen, copies = (n, h), {}, set(), {}
                 if kind == 0:
                     told[digest.hex()] = first
                     continue
@@ -133,7 +135,7 @@ def write(pages: DataFrame, folder: str, payload: str = "html", key: str = "page
             yield archive.manifest_batch(done)
 
     manifest = shared.materialize(rows.mapInArrow(work, archive.MANIFEST), "warc-manifest")
-    return archive.commit(manifest, folder), len(bounds) + 1
+    return archive.commit(manifest, folder), bounds.shards
 
 
 def records(stream, chunk: int = 1 << 20):
@@ -191,7 +193,7 @@ def read(manifest: DataFrame, shards: int, folder: str, payload: bool = True) ->
                 if rows:
                     yield _rows(rows)
 
-    return archive.by_shard(manifest, shards).mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archive.by_range(manifest, shards, "part").mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -147,9 +147,41 @@ def test_vantage_point_components():
     for _ in range(len(p)):
         label = np.where(near, label[None, :], len(p)).min(1)
     assert (vptree.components(p, 4) == label).all()
-    q, found = zip(*vptree.Tree(p).within(p[:50], 6))
-    want = np.argwhere(np.bitwise_count(p[:50, None] ^ p[None, :]) <= 6)
-    assert sorted(zip(np.concatenate(q).tolist(), np.concatenate(found).tolist())) == sorted(map(tuple, want.tolist()))
+    tree = vptree.Tree(p, radius=6)
+    found = {(q, i) for leaf, who in tree.visits(p[:50]) for q in who.tolist() for i in tree.members[leaf].tolist() if int(p[q] ^ p[i]).bit_count() <= 6}
+    assert found == set(map(tuple, np.argwhere(np.bitwise_count(p[:50, None] ^ p[None, :]) <= 6).tolist())) and len(tree.members) > 3
+
+
+def near_graph(fps, radius):
+    """Roots of distinct fps by comparing all with all, in blocks."""
+    label = np.arange(len(fps))
+    ends = [np.argwhere(np.bitwise_count(fps[a : a + 500, None] ^ fps[None, :]) <= radius) + [[a, 0]] for a in range(0, len(fps), 500)]
+    ends = np.concatenate(ends)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, ends[:, 0], label[ends[:, 1]])
+        if (low == label).all():
+            return label
+        label = low
+
+
+@pytest.mark.parametrize("radius,shard", [(4, 2000), (4, 1 << 20), (2, 3000), (7, 4000)])
+def test_links_of_twenty_thousand(spark, monkeypatch, radius, shard):
+    rng = np.random.default_rng(radius)
+    flip = lambda x, n: x ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (n, len(x))).astype(np.uint64), 0)
+    base = rng.integers(0, 1 << 63, 15_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 15_000).astype(np.uint64)
+    dense = flip(np.repeat(base[:1], 3000), 2)  # a ball, and pairs about the radius
+    fps = np.unique(np.concatenate([base, dense, flip(base[:2500], radius), flip(base[2500:4000], radius + 1)]))
+    built = []
+    tree = vptree.Tree
+    monkeypatch.setattr(vptree, "Tree", lambda *a, **k: built.append(tree(*a, **k)) or built[-1])
+    points = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long").repartition(3)
+    stars = simhash.links(points, len(fps), radius, shard, sample=4000).collect()
+    assert len(built) == radius // 2 + 1 and all(len(t.members) > 3 for t in built)
+    where = {int(x): i for i, x in enumerate(fps.view(np.int64).tolist())}
+    label = np.arange(len(fps))
+    a, b = (np.array([where[r[c]] for r in stars]) for c in (0, 1))
+    assert (vptree._spread(label, a, b) == near_graph(fps, radius)).all()
 
 
 def test_decontam(spark, docs, rows, empty):

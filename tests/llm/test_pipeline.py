@@ -33,3 +33,60 @@ def test_decontaminate_removes_rows_not_numbers(spark, tmp_path):
     rows = [(None, bad), (None, "clean one"), (5, "so " + bad), (5, "clean two"), (6, "clean three")]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), str(tmp_path))
     assert {r.text for r in got.collect()} == {"clean one", "clean two", "clean three"}
+
+
+def test_columns_that_clash(spark, tmp_path):
+    bad = "needle in a hay stack that is long enough to find"
+    long = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = ["gone", "hit", "row", "n_lines", "kept_text", "keys_", "doc_", "row_", "gone_", "c0", "c1", "n_dropped", "k", "t", "kept", "n_words", "shard", "sequence_id", "offset"]
+    shown = "a common line of text\n"
+    texts = [long("a"), long("a") + " x", shown + long("b"), shown + long("c"), long("d") + " " + bad, long("a")]
+    rows = [(k, t, *(f"{c}{k}" for c in extra)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra)).repartition(2)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = shared.materialize(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+    got = {r.doc_id: r for r in now.collect()}
+    assert {k: r.text for k, r in got.items()} == {0: texts[0], 2: texts[2], 3: long("c"), 5: ""}  # all lines of 5 are in 0
+    assert all(r[c] == f"{c}{k}" for k, r in got.items() for c in extra)
+    assert corpus_pipeline.pack(spark, now, str(tmp_path)).select("doc_id").distinct().count() == 4
+
+
+def test_contents_after_line_dedup_and_packing(spark, docs, rows):
+    from collections import Counter
+
+    from test_operators import ids_of, kept_lines
+
+    after = corpus_pipeline.line_dedup(spark, docs, "")
+    assert Counter(map(tuple, after.select("doc_id", "text").collect())) == Counter((i, t) for i, _, _, t in kept_lines(rows))
+    assert after.where("n_chars <> length(text)").count() == 0
+    packed = corpus_pipeline.pack(spark, docs, "").groupBy("doc_id").sum("length").collect()
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(ids_of(t, 1))
+    assert dict(map(tuple, packed)) == dict(want)
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with shared.scratch(spark) as keep:
+        one, two = (shared.materialize(spark.range(3), "scratch") for _ in range(2))
+        keep(two)
+    assert two.count() == 3
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one._shared_path)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_cluster_without_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    kept = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.work_dir(spark)
+    finally:
+        if kept:
+            spark.conf.set("spark.checkpoint.dir", kept)
