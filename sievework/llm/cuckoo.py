@@ -81,12 +81,22 @@ class CuckooFilter:
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         mark, at = self._places(hi, lo)
-        for m, a, b in zip(mark, at, self._other(mark, at)):
-            for bucket in (self.table[a], self.table[b]):
-                hit = np.flatnonzero(bucket == m)
-                if len(hit):
-                    bucket[hit[0]] = 0
-                    break
+        mark, at = self._take(mark, at)
+        self._take(mark, self._other(mark, at))
+
+    def _take(self, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Empty one slot for each mark that its bucket holds; returns the marks that were not found."""
+        lost_mark, lost_at = [], []
+        while len(mark):  # one key of each bucket at a time, as two may share bucket and mark
+            _, one = np.unique(at, return_index=True)
+            hit = self.table[at[one]] == mark[one, None]
+            found = hit.any(1)
+            self.table[at[one][found], hit[found].argmax(1)] = 0
+            lost_mark.append(mark[one][~found])
+            lost_at.append(at[one][~found])
+            mark, at = np.delete(mark, one), np.delete(at, one)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none.astype(np.uint16), *lost_mark]), np.concatenate([none, *lost_at])
 
     def dump(self) -> bytes:
         return struct.pack("<4sI", b"CKF1", self.bits) + self.table.astype("<u2").tobytes()

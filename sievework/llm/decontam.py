@@ -82,6 +82,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     slices = max(1, -(-shared.stored_bytes(marks) // SLICE_BYTES))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    if slices > 1:  # the numbers must be the same in each pass
+        rows = shared.materialize(rows, "decontam-rows")
     kept = hashes(steps(rows, "t", ["row", "k"]), ["row", "k"], short)
     first = (F.col("p") == 0) & (F.coalesce("i", F.lit(0)) == 0)
     told = None

@@ -1,10 +1,10 @@
 """Licence scans with a positional index of rare template words.
 
-The document frequency of each word of the licence templates is counted over all documents. Each
-template's words of highest inverse document frequency, and the rarest word of each of its mandatory
-phrases, go into an index of postings (template, position). A file's words that are in the index are its
-highest-IDF licence words; each of their places gives, through the postings, a place where a template
-would begin. Places on which enough of a template's rare words agree are candidates; a candidate becomes
+The document frequency of each word of the licence templates is counted over all documents, and an index
+has every template word's postings (template, position). A file's licence words are ranked by inverse
+document frequency; for each template whose mandatory phrases' words the file has, its RARE highest-ranked
+words that the template has too are looked up. Each of their places gives, through the postings, a place where
+the template would begin; places on which enough of these words agree are candidates. A candidate becomes
 a label if every mandatory phrase stands at its relative position, and scores by the share of template
 words in place. Both passes are narrow; only word counts of the templates' vocabulary are gathered.
 
@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +31,20 @@ from . import shared
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Rare words a template has in the index besides those of its phrases, and their share that must agree.
+#: A file's highest-ranked words that are looked up for a template, and the share of their places that must agree.
 RARE, AGREE = 8, 0.6
 #: Least share of a template's words in place.
 LEAST_SCORE = 0.6
 
-#: Label, text, mandatory phrases. The texts are openings of public licences and common notices.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"
+
+#: Label, text, mandatory phrases. The texts are public licences, their openings and common notices.
 TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
     ("mit", "Released under the MIT License", ("mit license",)),
@@ -49,6 +58,12 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general public license",)),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu affero general public license",)),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
+    ("mit", _MIT + _AS_IS, ("permission is hereby granted free of charge", "this permission notice shall be included in all copies or substantial portions")),
+    ("bsd-2-clause", _BSD + _BSD_AS_IS, ("redistribution and use in source and binary forms", "provided with the distribution this software is provided")),
+    ("bsd-3-clause", _BSD + _BSD_3 + _BSD_AS_IS, ("redistribution and use in source and binary forms", "provided with the distribution 3 neither the name")),
+    ("isc", _ISC, ("with or without fee is hereby granted", "this permission notice appear in all copies")),
+    ("zlib", _ZLIB, ("provided as is without any express or implied warranty", "alter it and redistribute it freely")),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
@@ -78,38 +93,44 @@ class Template:
     label: str
     words: list[bytes]
     phrases: list[tuple[int, list[bytes]]]
-    rare: dict[bytes, list[int]]
+    needed: frozenset[bytes]
+    postings: dict[bytes, list[int]]
 
 
 class Index:
-    """Postings of rare template words, from document frequencies of the templates' vocabulary."""
+    """Postings of the template words, ranked by their document frequencies."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int, templates=None):
-        idf = lambda w: math.log((documents + 1) / (frequency.get(w, 0) + 1))
         self.templates: list[Template] = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for label, text, phrases in TEMPLATES if templates is None else templates:
             own = words(text.encode())
             at = []
             for p in phrases:
                 want = words(p.encode())
                 at.append((places(own, want)[0], want))
-            ranked = sorted(set(own), key=lambda w: (-idf(w), w))
-            chosen = set(ranked[:RARE]) | {min(p, key=lambda w: (-idf(w), w)) for _, p in at}
-            rare = {w: [i for i, x in enumerate(own) if x == w] for w in sorted(chosen)}
-            for w, spots in rare.items():
-                self.postings.setdefault(w, []).extend((len(self.templates), i) for i in spots)
-            self.templates.append(Template(label, own, at, rare))
+            postings: dict[bytes, list[int]] = {}
+            for i, w in enumerate(own):
+                postings.setdefault(w, []).append(i)
+            self.templates.append(Template(label, own, at, frozenset(w for _, p in at for w in p), postings))
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for t in self.templates for w in t.postings}
         self.phrases = [(words(p.encode()), label) for p, label in BASE.items()]
-        self.wanted = frozenset(self.postings) | {p[0] for p, _ in self.phrases}
+        self.base = frozenset(p[0] for p, _ in self.phrases)
+        self.wanted = frozenset(self.idf) | self.base
 
     def scan(self, found: list[bytes]) -> tuple[int, int | None, int | None, list[str], list[str], float]:
         """n_base, first_word, last_word, base labels, labels, score of a text's words."""
-        if self.wanted.isdisjoint(found):
+        present = self.wanted.intersection(found)
+        ranked = sorted((w for w in present if w in self.idf), key=lambda w: (-self.idf[w], w))
+        looked = []  # the templates that the file can hold, and its highest-ranked words that they have
+        for k, t in enumerate(self.templates):
+            if t.needed <= present:
+                looked.append((k, list(islice((w for w in ranked if w in t.postings), RARE))))
+        need = (self.base & present).union(*(own for _, own in looked))
+        if not need:
             return 0, None, None, [], [], 0.0
         by: dict[bytes, list[int]] = {}
         for i, w in enumerate(found):
-            if w in self.wanted:
+            if w in need:
                 by.setdefault(w, []).append(i)
         base, starts, labels, best = set(), [], set(), 0.0
         for phrase, label in self.phrases:
@@ -117,13 +138,17 @@ class Index:
                 starts += got
                 base.add(label)
         votes: Counter = Counter()
-        for w, spots in by.items():
-            for t, q in self.postings.get(w, ()):
-                for i in spots:
-                    votes[t, i - q] += 1
+        least = {}
+        for k, own in looked:
+            postings = self.templates[k].postings
+            least[k] = AGREE * sum(len(postings[w]) for w in own)
+            for w in own:
+                for q in postings[w]:
+                    for i in by[w]:
+                        votes[k, i - q] += 1
         for (t, at), n in votes.items():
             template = self.templates[t]
-            if n < AGREE * sum(map(len, template.rare.values())):
+            if n < least[t]:
                 continue
             if any(found[max(0, at + q) : at + q + len(p)] != p for q, p in template.phrases):
                 continue

@@ -37,8 +37,8 @@ from . import shared, vptree
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that vantage points are chosen from, and the most that one task holds of a shard.
 SAMPLE, SHARD = 1 << 16, 1 << 20
-#: The most tasks.
-TASKS = 1 << 15
+#: The most tasks, and the edges that one task joins by itself.
+TASKS, LOCAL = 1 << 15, 1 << 16
 PART = 1 << 14
 
 
@@ -181,18 +181,24 @@ def _home(own: vptree.Shard):
 def connected(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the least node of its component.
 
-    Alternates stars: every node hands its larger neighbours, then its smaller ones, to the least node it
-    sees, until nothing moves. Each round is written, so a lost executor costs one round at most.
+    A task joins up to LOCAL edges by itself; if all fit into one, that is the result. Else stars alternate:
+    every node hands its larger neighbours, then its smaller ones, to the least node it sees, until nothing
+    moves. Each round is written, so a lost executor costs one round at most.
     """
     edges = shared.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     state = None
     while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parts = -(-edges.count() // LOCAL)
+        near = shared.materialize(edges.repartition(max(1, parts)).mapInArrow(_join_local, "a long, b long"), label)
+        if parts <= 1:
+            edges = near
+            break
+        both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = _meet(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _meet(large, low).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = shared.materialize(small.distinct(), label)
+        edges = shared.materialize(small.where("a <> b").distinct(), label)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
@@ -200,6 +206,18 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _join_local(batches):
+    """Stars (a, b) of the components of a task's edges."""
+    ends = [np.stack([np.asarray(b.column(c), np.int64) for c in ("a", "b")]) for b in batches]
+    if ends:
+        both = np.concatenate(ends, 1)
+        nodes, at = np.unique(both, return_inverse=True)
+        at = at.reshape(both.shape)
+        root = vptree.spread(np.arange(len(nodes)), at[0], at[1])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+
 def _meet(edges: DataFrame, low: DataFrame) -> DataFrame:
     """edges with m by a. The second key makes both sides exchange, so that skewed nodes can be split."""
     tag = F.col("a").bitwiseXOR(F.lit(1))

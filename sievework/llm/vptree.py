@@ -96,7 +96,7 @@ class Tree:
             todo += [(far, who[away > cut - under]), (near, who[away <= cut + over])]
 
 
-def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after the labels a[i] and b[i] have been made one; the least label of a set stays."""
     up = np.arange(len(label))
     while True:
@@ -127,7 +127,7 @@ class Shard:
             mine = np.arange(a, min(a + CHUNK, len(points)))
             found = self._meet(points[mine], self.label[mine])
             if len(found):
-                self.label = _spread(self.label, self.label[mine[found[:, 0]]], found[:, 1])
+                self.label = spread(self.label, self.label[mine[found[:, 0]]], found[:, 1])
 
     def _balls(self) -> None:
         rng, alone, found = np.random.default_rng(len(self.points)), np.ones(len(self.points), bool), True
@@ -138,7 +138,7 @@ class Shard:
                 if alone[i]:
                     ball = np.flatnonzero(distance(self.points, self.points[i]) <= self.radius)
                     if len(ball) >= DENSE:
-                        self.label = _spread(self.label, self.label[ball], np.full(len(ball), self.label[ball].min()))
+                        self.label = spread(self.label, self.label[ball], np.full(len(ball), self.label[ball].min()))
                         alone[ball] = False
                         self.centres.append(i)
                         found = True

@@ -181,10 +181,10 @@ def test_links_of_twenty_thousand(spark, monkeypatch, radius, shard):
     where = {int(x): i for i, x in enumerate(fps.view(np.int64).tolist())}
     label = np.arange(len(fps))
     a, b = (np.array([where[r[c]] for r in stars]) for c in (0, 1))
-    assert (vptree._spread(label, a, b) == near_graph(fps, radius)).all()
+    assert (vptree.spread(label, a, b) == near_graph(fps, radius)).all()
 
 
-def test_decontam(spark, docs, rows, empty):
+def test_decontam(spark, monkeypatch, docs, rows, empty):
     items = [(1, "hay stack that is long enough to find"), (2, "a needle IN a hay stack, that is long enough to find!"), (3, None), (4, ""), (5, "short item"), (5, "mit license"), (None, rows[9][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     wins = defaultdict(set)
@@ -203,8 +203,10 @@ def test_decontam(spark, docs, rows, empty):
                     hit |= set(range(k, k + n))
                     found |= wins[tuple(w[k : k + n])]
         want.append((i, len(w), len(hit), len(found), ",".join(sorted(found)), bool(hit)))
-    got = decontam.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", F.concat_ws(",", "items"), "contaminated").collect()
-    assert bag(got) == bag(want) and any(x[5] for x in want)
+    for slice_bytes in (decontam.SLICE_BYTES, 1500):  # one pass, and several
+        monkeypatch.setattr(decontam, "SLICE_BYTES", slice_bytes)
+        got = decontam.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", F.concat_ws(",", "items"), "contaminated").collect()
+        assert bag(got) == bag(want) and any(x[5] for x in want)
     assert decontam.decontaminate(empty, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -293,6 +295,25 @@ def test_license_templates(spark):
     assert all(label in got[k] for k, (label, _, _) in enumerate(licenses.TEMPLATES)) and got[99] == [""]
 
 
+def test_license_negatives_and_mixtures(spark):
+    cut = licenses._MIT.split()
+    rows = [
+        (0, "permission to deal in the software free of charge is hereby not granted to any person"),
+        (1, " ".join(sorted(cut))),  # all words, none in place
+        (2, licenses._BSD + licenses._BSD_3 + licenses._BSD_AS_IS),
+        (3, licenses._BSD + licenses._BSD_AS_IS),
+        (4, licenses._MIT.replace("hereby granted", "granted")),  # a mandatory phrase is broken
+        (5, licenses._ISC + " and also " + licenses._MIT + licenses._AS_IS + " some rights reserved"),
+        (6, " ".join(w if k % 12 else w + "x" for k, w in enumerate((licenses._ZLIB + " ").split(), 1))),
+        (7, "the terms of the gnu general license, apache style, public domain notice"),
+        (8, "word " * 500 + licenses._MIT + licenses._AS_IS),
+    ]
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[7] == (set(), 0.0) and "mit" not in got[4][0]
+    assert got[2][0] == {"bsd", "bsd-3-clause"} and got[3][0] == {"bsd", "bsd-2-clause"}
+    assert got[5][0] == {"isc", "mit"} and got[8][0] == {"mit"} and got[5][1] == got[8][1] == 1.0
+
+
 def test_warc(spark, rows, empty):
     pages = [(i, f"http://x/{i} é" if k % 3 else None, t) for k, (i, t) in enumerate(rows)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)

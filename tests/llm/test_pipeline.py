@@ -78,15 +78,12 @@ def test_scratch_deletes_what_is_not_kept(spark):
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def test_a_cluster_without_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_without_a_shared_folder():
+    from types import SimpleNamespace
+
     import pytest
 
-    kept = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    unset = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            shared.work_dir(spark)
-    finally:
-        if kept:
-            spark.conf.set("spark.checkpoint.dir", kept)
+            shared.work_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
