@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import pairwise
 import unicodedata
 from functools import reduce
 
@@ -254,31 +255,26 @@ ABBREVIATIONS = frozenset(
 )
 #: Marks that may stand behind, before and around a sentence's words.
 CLOSERS, OPENERS, AROUND = "\"'»”’)]}", "\"'«„“‘([{-–—", "()[]{}\"'«»„“”‘’.,;:!?-–—"
-_END = re.compile(r"[.!?]+[\"'»”’)\]}]*(?=\s)")
-_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
-_ROMAN = re.compile(r"[IVXLCDM]+")
+_MARK = re.compile(rf"[.!?]+[{re.escape(CLOSERS)}]*(?=\s)")
+#: What keeps a sentence open before a mark: a number, a letter, initials, a Roman numeral, an abbreviation.
+_OPEN_TOKEN = re.compile(rf"\d+|[^\W\d_]|(?:[^\W\d_]\.)+[^\W\d_]|[IVXLCDM]+|(?i:{'|'.join(map(re.escape, sorted(ABBREVIATIONS)))})")
+_LEAD = re.compile(rf"\s*[{re.escape(OPENERS)}]*")
 
 
-def _continues(left: str, right: str) -> bool:
-    """Whether the mark between left and right belongs to a number, an abbreviation or a running sentence."""
-    last = left.split()[-1].strip(AROUND) if left.strip() else ""
-    if last and (last.isdigit() or (len(last) == 1 and last.isalpha()) or last.lower() in ABBREVIATIONS or _INITIALS.fullmatch(last) or _ROMAN.fullmatch(last)):
-        return True
-    following = right.lstrip().lstrip(OPENERS)[:1]
-    return following.isalpha() and following.islower()
+def sentence_ends(line: str) -> list[int]:
+    """Places after the marks that end a sentence. Each mark is judged alone, by the token before and the letter after."""
+    ends = []
+    for mark in _MARK.finditer(line):
+        token = line[: mark.start()].rstrip().rpartition(" ")[2].split()
+        after = line[_LEAD.match(line, mark.end()).end() :][:1]
+        if not after.islower() and not (token and _OPEN_TOKEN.fullmatch(token[-1].strip(AROUND))):
+            ends.append(mark.end())
+    return ends
 
 
 def sentences(text: str) -> list[str]:
-    found = []
-    for line in filter(None, map(str.strip, text.split("\n"))):
-        begin = 0
-        for mark in _END.finditer(line):
-            marks = len(mark[0]) - len(mark[0].lstrip(".!?"))
-            if not _continues(line[begin : mark.start()], line[mark.end() :]) and marks:
-                found.append(line[begin : mark.end()].strip())
-                begin = mark.end()
-        found.append(line[begin:].strip())
-    return [s for s in found if s]
+    cut = [(line, pairwise([0, *sentence_ends(line), len(line)])) for line in map(str.strip, text.split("\n"))]
+    return [s for line, spans in cut for s in (line[i:j].strip() for i, j in spans) if s]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -317,28 +313,30 @@ def rewriter(lexicon: dict[str, str]):
     return rewrite
 
 
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+#: What between two tokens begins a sentence: a line's end, or marks of which the last ends one.
+_BEGINS = re.compile(r"\n|[.!?](?![^\w\s])")
+_ORDINAL = re.compile(r"\.(?![^\w\s])")
+
+
 def recased(text: str, proper: frozenset[str] = frozenset()) -> str:
-    """Shouted text in sentence case; a full stop after a number is an ordinal's."""
-    up = [c for c in text if c.isalpha()]
-    if len(up) < 8 or sum(c.isupper() for c in up) / len(up) < 0.8:
+    """Shouted text in sentence case; a full stop after a number is an ordinal's. Underscores go."""
+    letters = pd.Series(list(text), dtype=object)
+    letters = letters[letters.map(str.isalpha)] if len(letters) else letters
+    if len(letters) < 8 or letters.map(str.isupper).mean() < 0.8:
         return text
-    out, begins, number = [], True, False
-    for part in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|\s+", text):
-        if part[0].isalpha():
-            low = part.lower()
-            out.append(low[:1].upper() + low[1:] if begins or low in proper else low)
-            begins = number = False
-            continue
-        out.append(part)
-        if part[0].isdigit():
-            begins, number = False, True
-            continue
-        if part.isspace():
-            begins |= "\n" in part
-        elif part[-1] in ".!?" and not (number and part == "."):
-            begins = True
-        number = False
-    return "".join(out)
+    text = text.replace("_", "")
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+
+    def shape(before: tuple[int, int] | None, at: tuple[int, int]) -> str:
+        gap = text[before[1] if before else 0 : at[0]]
+        number = before is not None and text[before[0]].isdigit()
+        low = text[slice(*at)].lower()
+        first = before is None or _BEGINS.search(gap, 1 if number and _ORDINAL.match(gap) else 0)
+        return gap + (low[:1].upper() + low[1:] if first or low in proper else low)
+
+    shaped = [shape(before, at) for before, at in zip([None, *spans], spans)]
+    return "".join(shaped) + text[spans[-1][1] :]
 
 
 @F.pandas_udf(T.StringType())

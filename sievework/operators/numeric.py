@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -12,32 +13,36 @@ from pyspark.sql.types import BooleanType
 UNIT_RATIOS = (2.20462, 0.621371, 3.28084, 0.393701, 0.386102, 2.47105, 0.264172)
 
 
-def same_quantity(x: float, y: float) -> bool:
-    """One quantity in two units, a decade in two spellings, or degrees Celsius as Fahrenheit."""
-    if abs(32 + 1.8 * x - y) <= 1:
-        return True
-    for small, large in ((x, y), (y, x)):
-        decade = 0 <= small <= 99 and 1000 <= large <= 2100 and large % 100 == small
-        if decade or (large and any(abs(small * r - large) <= 0.02 * abs(large) for r in UNIT_RATIOS)):
-            return True
-    return False
+#: (factor, addend, absolute, relative): y is x if it is factor x + addend within one of the bounds.
+RULES = [(1.8, 32.0, 1.0, 0.0)] + [(r, 0.0, 0.0, 0.02) for r in UNIT_RATIOS]
+#: Those that hold from the second side to the first, too.
+BOTH_WAYS = RULES[1:]
+
+
+def _converted(x: np.ndarray, y: np.ndarray, rules) -> np.ndarray:
+    off = [np.abs(factor * x + addend - y) <= np.maximum(absolute, relative * np.abs(y)) for factor, addend, absolute, relative in rules]
+    return np.any([o if absolute else o & (y != 0) for o, (_, _, absolute, _) in zip(off, rules)], 0)
+
+
+def _decade(short: np.ndarray, year: np.ndarray) -> np.ndarray:
+    return (short >= 0) & (short <= 99) & (year >= 1000) & (year <= 2100) & (year % 100 == short)
+
+
+def same_quantities(a, b) -> np.ndarray:
+    """For each pair of a and b: one quantity in two units, a decade in two spellings, or Celsius as Fahrenheit."""
+    x, y = np.asarray(a, np.float64)[:, None], np.asarray(b, np.float64)[None, :]
+    return _converted(x, y, RULES) | _converted(y, x, BOTH_WAYS) | _decade(x, y) | _decade(y, x)
 
 
 def disagree(a, b) -> bool:
     """Whether both sides keep a number after equal ones and equal quantities have been struck out, in order."""
-    rest = Counter(b)
-    rest.subtract(a)
-    # a value is over on one side only: positive counts are of b, negative ones of a
-    left = [v for v in dict.fromkeys(a) for _ in range(-rest[v])]
-    right = [v for v in dict.fromkeys(b) for _ in range(rest[v])]
-    kept = 0
-    for x in left:
-        found = next((i for i, y in enumerate(right) if same_quantity(x, y)), None)
-        if found is None:
-            kept += 1
-        else:
-            del right[found]
-    return kept > 0 and len(right) > 0
+    left, right = Counter(a), Counter(b)
+    same = same_quantities(list((left - right).elements()), list((right - left).elements()))
+    free = np.ones(same.shape[1], bool)
+    for row in same:
+        partner = (row & free).argmax() if free.size else 0
+        free[partner : partner + 1] &= not row[partner : partner + 1].any()
+    return bool(same.shape[0] > (~free).sum() and free.any())
 
 
 @F.pandas_udf(BooleanType())

@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,43 +145,56 @@ def html_fields(df: DataFrame, column: str) -> DataFrame:
 # ------------------------------------------------------------------ maps in PBF
 
 
-def _varint(data: memoryview, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = data[at]
-        at += 1
-        value |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            return value, at
-        shift += 7
+#: A number of the wire format: bytes of seven bits, the lowest first, of which the last is below 128.
+_NUMBER = re.compile(rb"[\x80-\xff]*[\x00-\x7f]", re.DOTALL)
+#: Bytes of fixed-size values by wire type.
+_SIZES = {1: 8, 5: 4}
 
 
-def _fields(data) -> Iterator[tuple[int, int | memoryview]]:
+def _numbers(data: bytes) -> np.ndarray:
+    """All numbers of a packed field at once."""
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    if not len(last):
+        return np.zeros(0, np.uint64)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(last[-1] + 1) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw[: last[-1] + 1] & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first)
+
+
+def _packed(data: bytes) -> list[int]:
+    return _numbers(data).tolist()
+
+
+def _deltas(data: bytes) -> list[int]:
+    """Running sums of the zigzag numbers of a packed field."""
+    x = _numbers(data)
+    return np.cumsum((x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)).tolist()
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a message: integers, or the bytes of what has a length."""
-    data, at = memoryview(data), 0
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        found = _NUMBER.match(data, at)
+        if found is None:
+            raise ValueError("the message ends inside a number")
+        at = found.end()
+        return int(_numbers(found[0])[0])
+
     while at < len(data):
-        tag, at = _varint(data, at)
+        tag = number()
         kind = tag & 7
         if kind == 0:
-            value, at = _varint(data, at)
-        elif kind in (1, 5):
-            size = 8 if kind == 1 else 4
-            value, at = data[at : at + size], at + size
-        elif kind == 2:
-            size, at = _varint(data, at)
-            value, at = data[at : at + size], at + size
-        else:
+            yield tag >> 3, number()
+            continue
+        if kind != 2 and kind not in _SIZES:
             raise ValueError(f"wire type {kind}")
-        yield tag >> 3, value
-
-
-def _packed(data) -> list[int]:
-    out, at = [], 0
-    data = memoryview(data)
-    while at < len(data):
-        value, at = _varint(data, at)
-        out.append(value)
-    return out
+        size = number() if kind == 2 else _SIZES[kind]
+        at += size
+        yield tag >> 3, data[at - size : at]
 
 
 def _signed(value: int) -> int:
@@ -224,9 +238,7 @@ def _nodes(block: bytes) -> Iterator[tuple[int, float, float, dict]]:
                 f = dict(_fields(value))
                 at = 0
                 keys = _packed(f.get(10, b""))
-                node = lat = lon = 0
-                for i, y, x in zip(_packed(f[1]), _packed(f[8]), _packed(f[9])):
-                    node, lat, lon = node + _signed(i), lat + _signed(y), lon + _signed(x)
+                for node, lat, lon in zip(_deltas(f[1]), _deltas(f[8]), _deltas(f[9])):
                     pairs = []
                     while at < len(keys) and keys[at]:
                         pairs.append((strings[keys[at]], strings[keys[at + 1]]))
