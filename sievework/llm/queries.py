@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import decontam, langid, licenses, linededup, packing, quality, sharding, shared, simhash, tokenout, warc
 from .shared import table
 
+#: Bytes a shard, so that small tables split too.
+OP5_LIMIT = 1 << 20
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.ready(spark)
@@ -36,7 +39,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"), also=("source", "text"))
+    return sharding.assign(table(spark, sf_dir, "documents"), limit=OP5_LIMIT, also=("source", "text"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +128,7 @@ _OP5 = f"""
 WITH t AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, strlen(coalesce(text, ''))::BIGINT AS b FROM documents),
 u AS (SELECT *, unnest(range(0, 40)) AS d FROM t),
 s AS (SELECT d, h // (1::BIGINT << (60 - d)) AS p, sum(b) AS bytes, count(*) AS n FROM u GROUP BY 1, 2),
-f AS (SELECT u.doc_id, u.h, u.b, min(u.d) AS depth FROM u JOIN s ON s.d = u.d AND s.p = u.h // (1::BIGINT << (60 - u.d)) WHERE bytes <= {sharding.LIMIT} OR n = 1 GROUP BY 1, 2, 3)
+f AS (SELECT u.doc_id, u.h, u.b, min(u.d) AS depth FROM u JOIN s ON s.d = u.d AND s.p = u.h // (1::BIGINT << (60 - u.d)) WHERE bytes <= {OP5_LIMIT} OR n = 1 GROUP BY 1, 2, 3)
 SELECT doc_id, b AS doc_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h // (1::BIGINT << (60 - depth))), depth::INT, '0') END AS shard,
        depth::INT AS depth, bytes::BIGINT AS shard_bytes, n::BIGINT AS shard_docs
 FROM f JOIN s ON s.d = depth AND s.p = h // (1::BIGINT << (60 - depth))
