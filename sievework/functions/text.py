@@ -199,11 +199,11 @@ def safe_name(c) -> Column:
 
 
 def letter_count(c) -> Column:
-    return F.length(F.regexp_replace(col(c), r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(col(c), r"[^\p{L}]+", ""))
 
 
 def upper_count(c) -> Column:
-    return F.length(F.regexp_replace(col(c), r"[^\p{Lu}]", ""))
+    return F.length(F.regexp_replace(col(c), r"[^\p{Lu}]+", ""))
 
 
 def shouted(c, least: int = 8, ratio: float = 0.8) -> Column:

@@ -261,3 +261,55 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> D
     met = asked.groupBy("qb", "rb").cogroup(given.groupBy("qb", "rb")).applyInPandas(multiply, "query long, id long, cosine double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
     return met.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
+def linked_clusters(rows: DataFrame, threshold: float = 0.30, block: int = 2048) -> DataFrame:
+    """(part, id, cluster): average-linkage clusters of the vectors of each part; cluster is the least id in it.
+
+    Two clusters whose mean distance is within the threshold hold a pair that is, so every cluster lies inside
+    one component of the graph of such pairs. The graph is found exactly, block against block: a multiplication
+    returns a star for each of its components, never all pairs. Each
+    component is then clustered whole, by one task: its size is not bounded.
+    """
+    import numpy as np
+
+    from . import tables
+
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    cut = tables.written(rows.join(sizes, "part").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), "vectors")
+    both = cut.select("part", "id", "vector", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    both = both.select("part", "id", "vector", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "i").distinct()
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        m = np.array(list(pdf["vector"]), float)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        left, right = (np.flatnonzero(pdf["i"].to_numpy() == pdf[c].iloc[0]) for c in ("u", "v"))
+        close = 1 - m[left] @ m[right].T <= threshold + 1e-9
+        ids = pdf["id"].to_numpy()
+        whole = np.argwhere(close)
+        label = np.arange(len(ids))
+        while len(whole):
+            low = label.copy()
+            np.minimum.at(low, left[whole[:, 0]], label[right[whole[:, 1]]])
+            np.minimum.at(low, right[whole[:, 1]], low[left[whole[:, 0]]])
+            if (low == label).all():
+                break
+            label = low
+        pairs = np.stack([ids, ids[label]])
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "a": pairs[0], "b": pairs[1]})[pairs[0] != pairs[1]]
+
+    kind = rows.schema["part"].dataType.simpleString()
+    edges = both.groupBy("part", "u", "v").applyInPandas(near, f"part {kind}, a long, b long")
+    roots = tables.components(edges.select("a", "b").distinct())
+    placed = cut.join(roots.withColumnRenamed("node", "id"), "id", "left").select("part", "id", "vector", F.coalesce("root", "id").alias("root"))
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        label = np.array(average_linkage(list(pdf["vector"]), threshold))
+        least = pdf["id"].groupby(label).transform("min")
+        return pd.DataFrame({"part": pdf["part"], "id": pdf["id"], "cluster": least})
+
+    alone = placed.groupBy("part", "root").agg(F.count("*").alias("m")).where("m > 1").select("part", "root")
+    many = placed.join(alone, ["part", "root"]).groupBy("part", "root").applyInPandas(cluster, f"part {kind}, id long, cluster long")
+    return many.unionByName(placed.join(alone, ["part", "root"], "left_anti").select("part", "id", F.col("id").alias("cluster")))

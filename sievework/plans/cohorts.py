@@ -242,8 +242,8 @@ def word_families(spark, sf):
     return learning.families(found.where("verdict = 'admitted'").select(F.col("x").alias("word"), F.col("y").alias("other")))
 
 
-@query(f"""WITH t AS (SELECT unnest({_TOK.format('text')}) AS w FROM documents), f AS (SELECT w, count(*) AS n FROM t GROUP BY 1),
-c AS (SELECT w, n, regexp_replace(w, 'ie', 'e') AS alt FROM f WHERE n >= 3 AND length(w) >= 4 AND contains(w, 'ie') AND NOT regexp_matches(w, 'ie$')) SELECT c.w AS form, c.alt, c.n, f.n AS attested FROM c JOIN f ON f.w = c.alt WHERE f.n >= 2""")
+@query(f"""WITH t AS (SELECT unnest({_TOK.format('text')}) AS w FROM documents), f AS MATERIALIZED (SELECT w, count(*) AS n FROM t GROUP BY 1),
+c AS MATERIALIZED (SELECT w, n, regexp_replace(w, 'ie', 'e') AS alt FROM f WHERE n >= 3 AND length(w) >= 4 AND contains(w, 'ie') AND NOT regexp_matches(w, 'ie$')) SELECT c.w AS form, c.alt, c.n, f.n AS attested FROM c JOIN f ON f.w = c.alt WHERE f.n >= 2""")
 def alternation_candidates(spark, sf):
     """Forms that a spelling rule turns into another one that is attested."""
     f = docs(spark, sf).select(F.explode(tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -276,12 +276,7 @@ def power_table(spark, sf):
 
 @query()
 def threshold_components(spark, sf):
-    """Average-linkage clusters of the vectors of each label and bucket of a hundred; quadratic only inside those."""
-    import pandas as pd
-
-    def clusters(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster": [f"{key[0]}-{key[1]}-{c}" for c in learning.average_linkage(list(pdf["embedding"]))]})
-
-    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / 100).alias("block"))
-    return rows.groupBy("label", "block").applyInPandas(clusters, "vec_id long, cluster string")
+    """Average-linkage clusters of each label's vectors, named by label and least vec_id."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vector"))
+    found = learning.linked_clusters(rows)
+    return found.select(F.col("id").alias("vec_id"), F.concat_ws("-", F.col("part").cast("string"), F.col("cluster").cast("string")).alias("cluster"))

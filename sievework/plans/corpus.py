@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import relational as rel
+from ..operators.tables import positions, written
 from .registry import query, table
 
 
@@ -15,7 +16,8 @@ def docs(spark, sf):
 
 
 def reasons(df):
-    n, low = text.word_count("text"), F.lower("text")
+    df = df.withColumn("words_", text.word_count("text"))
+    n, low = F.col("words_"), F.lower("text")
     rules = [
         ("empty", F.coalesce(F.trim("text"), F.lit("")) == ""),
         ("too_short", n < 20),
@@ -23,13 +25,17 @@ def reasons(df):
         ("mostly_symbols", text.mostly_symbols("text")),
         ("url", low.rlike("https?://")),
     ]
-    return df.withColumn("reason", text.first_reason(rules))
+    return df.withColumn("reason", text.first_reason(rules)).drop("words_")
 
 
 def with_duplicates(df):
-    """Duplicates are found among what no other rule has dropped; the first document number stays."""
-    first = df.where("reason IS NULL").groupBy(F.md5(F.lower("text")).alias("key_")).agg(F.min("doc_id").alias("first_"))
-    keyed = df.withColumn("key_", F.md5(F.lower("text"))).join(first, "key_", "left")
+    """Duplicates are found among what no other rule has dropped; the first document number stays.
+
+    Texts are read once: what goes on, and is written, is their reason and digest."""
+    keyed = df.withColumn("key_", F.when(F.col("reason").isNull(), F.md5(F.lower("text")))).drop("text")
+    keyed = written(keyed, "reasons")
+    first = keyed.where("reason IS NULL").groupBy("key_").agg(F.min("doc_id").alias("first_"))
+    keyed = keyed.join(first, "key_", "left")
     return keyed.withColumn("reason", F.coalesce("reason", F.when(F.col("doc_id") > F.col("first_"), "duplicate"))).drop("key_", "first_")
 
 
@@ -277,16 +283,6 @@ def reservoir_count(spark, sf):
     return rows.agg(F.count("*").alias("population")).join(F.broadcast(sample))
 
 
-def positions(df, order: str):
-    """Row positions from 0 in a total order, without one task for all rows: a range partition is numbered
-    inside, and each is moved by the sizes of those before."""
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("part_", F.spark_partition_id())
-    inside = ranged.withColumn("at_", F.row_number().over(Window.partitionBy("part_").orderBy(order)) - 1)
-    sizes = inside.groupBy("part_").agg(F.count("*").alias("size_"))
-    before = sizes.select("part_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    return inside.join(F.broadcast(before), "part_").withColumn("pos", (F.col("at_") + F.col("base_")).cast("long")).drop("part_", "at_", "base_")
-
-
 @query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS total FROM documents),
 s AS (SELECT doc_id, pos, CASE WHEN pos < (total % 3) * (total // 3 + 1) THEN pos // (total // 3 + 1) ELSE (total % 3) + (pos - (total % 3) * (total // 3 + 1)) // (total // 3) END AS shard FROM p)
 SELECT shard::BIGINT AS shard, count(*) AS size, min(pos) AS lo, max(pos) AS hi, sum(doc_id)::BIGINT AS ids FROM s GROUP BY 1""")
@@ -296,7 +292,14 @@ def shard_bounds(spark, sf):
     return placed.groupBy(rel.balanced_bounds(F.col("pos"), F.col("total"), 3).alias("shard")).agg(F.count("*").alias("size"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("doc_id").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES ('sizes', true, '0'), ('moved', true, '0'), ('missing', true, '0'), ('duplicate_sources', true, '0')) v(name, ok, detail)")
+@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS total FROM documents),
+s AS (SELECT *, CASE WHEN pos < (total % 3) * (total // 3 + 1) THEN pos // (total // 3 + 1) ELSE (total % 3) + (pos - (total % 3) * (total // 3 + 1)) // (total // 3) END AS shard FROM p),
+z AS (SELECT shard, count(*) AS n, any_value(total) // 3 + CASE WHEN shard < any_value(total) % 3 THEN 1 ELSE 0 END AS want FROM s GROUP BY 1),
+f AS (SELECT 'sizes' AS name, count(*) FILTER (WHERE n <> want) AS bad FROM z
+ UNION ALL SELECT 'moved', count(*) FILTER (WHERE u.doc_id <> p.doc_id) FROM (SELECT doc_id, row_number() OVER (ORDER BY shard, pos) - 1 AS pos FROM s) u JOIN p USING (pos)
+ UNION ALL SELECT 'missing', (SELECT count(*) FROM documents) - (SELECT sum(n) FROM z)
+ UNION ALL SELECT 'duplicate_sources', count(*) FROM (SELECT doc_id FROM s GROUP BY 1 HAVING count(*) > 1))
+SELECT name, bad = 0 AS ok, CAST(CAST(bad AS BIGINT) AS VARCHAR) AS detail FROM f""")
 def shard_union_check(spark, sf):
     from ..operators import checks
 
