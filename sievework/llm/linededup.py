@@ -308,10 +308,14 @@ def _filters(rows: DataFrame) -> DataFrame:
 
 def rewrite(docs: DataFrame, index: LineIndex, text: str = "text", key: str = "doc_id", least: int = MIN_CHARS) -> DataFrame:
     """All columns of docs, then kept_text, n_lines and n_dropped."""
+    return _rewritten(docs, index.drops(), text, key, least)
+
+
+def _rewritten(docs: DataFrame, drops: DataFrame, text: str, key: str, least: int) -> DataFrame:
     made = ("kept_text", "n_lines", "n_dropped")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
     own, lost = shared.unused_name(docs, "doc_"), shared.unused_name(docs, "keys_")
-    drops = index.drops().select(F.col("doc").alias(own), F.col("keys").alias(lost))
+    drops = drops.select(F.col("doc").alias(own), F.col("keys").alias(lost))
     both = docs.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).join(drops, own, "left").drop(own)
     fields = [f for f in both.schema.fields if f.name != lost]
     at = docs.columns.index(text)
@@ -341,10 +345,14 @@ def rewrite(docs: DataFrame, index: LineIndex, text: str = "text", key: str = "d
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_CHARS, batches: int = 2) -> DataFrame:
-    """Insert docs into an empty index in batches, then rewrite them."""
-    refs = shared.materialize(references(docs, text, key, least), "line-found")
-    index = LineIndex.empty(docs.sparkSession)
-    for k in range(batches):
-        index = index.insert(refs.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
-    return rewrite(docs, index, text, key, least)
+    """Insert docs into an empty index in batches, then rewrite them. Of the index only the drops stay on disk."""
+    spark = docs.sparkSession
+    with shared.scratch(spark) as keep:
+        refs = shared.materialize(references(docs, text, key, least), "line-found")
+        index = LineIndex.empty(spark)
+        for k in range(batches):
+            index = index.insert(refs.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
+            shared.sweep(spark)
+        drops = keep(shared.materialize(index.drops(), "line-drops"))
+    return _rewritten(docs, shared.broadcast_if_small(drops), text, key, least)
 

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -85,6 +86,12 @@ def scratch(spark: SparkSession):
                 delete_path(spark, path)
             elif _SCOPES:
                 _SCOPES[-1].append(path)
+        sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files that nothing refers to any more; it acts when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -99,6 +106,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """df with a column name that numbers its rows, the same however often df is read.
+
+    A table of Parquet files as they are is numbered by file and place in it. Any other df is written first.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in map(str.lower, df.columns):
+        path, place, file = (unused_name(df, c) for c in ("path_", "place_", "file_"))
+        try:
+            placed = df.withColumns({path: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
+        except AnalysisException:  # files of a kind without places
+            placed = None
+        if placed is not None:
+            files = sorted(r[0] for r in placed.select(path).distinct().collect())  # no more than the scan itself lists
+            known = spark.createDataFrame([(f, k) for k, f in enumerate(files)], StructType.fromDDL(f"{path} string, {file} long"))
+            known = F.broadcast(known) if sum(map(len, files)) <= BROADCAST_BYTES else known
+            number = F.shiftleft(file, 40) + F.col(place)
+            return placed.join(known, path).select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files of a materialized table."""
     spark = df.sparkSession
