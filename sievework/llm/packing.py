@@ -68,11 +68,12 @@ def first_fit_decreasing(lengths: np.ndarray, order: np.ndarray, capacity: int)
     return where, offset
 
 
-def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, payload: str = "crc") -> DataFrame:
+def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, payload: str = "crc", chunk: int = CHUNK) -> DataFrame:
     """(key, copy, start, length, doc_tokens, ids_crc32 or ids): the pieces of each of docs.
 
     payload "ids" gives the ids themselves, little-endian in the smallest of two or four bytes that holds
-    the vocabulary; "crc" their crc32 as unsigned 32-bit numbers.
+    the vocabulary; "crc" their crc32 as unsigned 32-bit numbers. About chunk bytes of texts are encoded at once: fewer take
+    less memory and more time, and give the same ids.
     """
     path = path or tokens.default_path()
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -85,7 +86,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | No
             for k in b.column(0).to_pylist():
                 copies.append(seen.get(k, 0))
                 seen[k] = copies[-1] + 1
-            for i, j in shared.row_slices(offs, CHUNK):
+            for i, j in shared.row_slices(offs, chunk):
                 ids, ends = enc.encode([raw[bounds[r] : bounds[r + 1]] for r in range(i, j)], end)
                 sizes = np.diff(ends)
                 number = -(-sizes // length)
@@ -101,7 +102,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | No
                     body = ids.astype("<u4")
                     what = pa.array([zlib.crc32(body[x:y]) for x, y in spans], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(np.array(copies, np.int64)[row + i]), pa.array(start), pa.array(size), pa.array(sizes[row]), what], ["k", "copy", "start", "length", "doc_tokens", "what"])
-        shared.tidy()
+            shared.tidy()
 
     out = slim.mapInArrow(work, shared.with_key(docs.schema[key].dataType, f"copy long, start long, length long, doc_tokens long, what {'binary' if payload == 'ids' else 'long'}"))
     return out.withColumnsRenamed({"k": key, "what": "ids" if payload == "ids" else "ids_crc32"})
@@ -141,9 +142,9 @@ def place(pieces: DataFrame, count: int, key: str = "doc_id", length: int = LENG
     return dealt.mapInArrow(work, StructType([*pieces.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields]))
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, seed: int = 0, payload: str = "crc") -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, seed: int = 0, payload: str = "crc", chunk: int = CHUNK) -> DataFrame:
     """(key, copy, start, length, doc_tokens, ids_crc32 or ids, sequence_id, offset): one row a piece."""
-    pieces = shared.materialize(cut(docs, text, key, path, length, end, payload), "pieces")
+    pieces = shared.materialize(cut(docs, text, key, path, length, end, payload, chunk), "pieces")
     return place(pieces, pieces.count(), key, length, group, seed)
 
 

@@ -21,7 +21,7 @@ from ..session import ship_package
 #: A side of a join is broadcast only when its written files hold no more than this.
 BROADCAST_BYTES = 8 << 20
 #: A batch of texts for a Python worker; a longer text is a batch alone.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
