@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import char_ngrams, col
+from . import tables
 
 
 def document_frequency(rows: DataFrame, group: str) -> DataFrame:
@@ -56,20 +60,82 @@ def bayes_predict(rows: DataFrame, model: DataFrame, text, default: str) -> Data
     return best
 
 
+#: Cells (word of a, word of b, pair) that a task of translation_table holds, about 100 bytes each while it sorts them.
+CELLS = 1 << 22
+
+
 def translation_table(pairs: DataFrame, a: str, b: str, rounds: int, least: int = 2) -> DataFrame:
     """(x, y, p): IBM model 1 by expectation maximisation over words that occur together `least` times.
 
-    The expectation is taken for each token of b over the set of a; each round shuffles by pair and word.
+    The expectation is taken for each token of b over the set of a. An expectation needs only its own y, so pairs
+    are dealt to blocks of y's words, as arrays: a pair goes once to each block that has words of its b, and its
+    cells are made, counted and weighed there. Between rounds only the sums of each x are sent; a block makes its
+    earlier rounds again from them. All cells of one y are in one task.
     """
-    flat = pairs.select("id", F.posexplode(b).alias("at", "y"), F.array_distinct(a).alias("xs")).select("id", "at", "y", F.explode("xs").alias("x"))
-    together = cooccurrence(pairs, a, b, least)
-    flat = flat.join(together.select("x", "y"), ["x", "y"])
-    table = together.select("x", "y", F.lit(1.0).alias("p"))
-    for _ in range(rounds):  # window sums: a round refers to the one before once, so the plan grows by rounds and not by powers
-        weighed = flat.join(table, ["x", "y"]).withColumn("z", F.sum("p").over(Window.partitionBy("id", "at")))
-        share = weighed.groupBy("x", "y").agg(F.sum(F.col("p") / F.col("z")).alias("c"))
-        table = share.select("x", "y", (F.col("c") / F.sum("c").over(Window.partitionBy("x"))).alias("p"))
-    return table.where("p >= 1e-4")
+    slim = pairs.select("id", F.filter(F.array_distinct(a), lambda x: x.isNotNull()).alias("xs"), F.filter(F.col(b), lambda y: y.isNotNull()).alias("ys"))
+    slim = tables.written(slim.where("size(xs) > 0 AND size(ys) > 0"), "pairs")
+    spark = pairs.sparkSession
+    cells = slim.agg(F.sum(F.size("xs").cast("long") * F.size("ys"))).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, -(-cells // CELLS))
+    block = lambda y: F.pmod(F.xxhash64(y), F.lit(blocks)).cast("int")
+    owned = F.transform("ys", lambda y: F.struct(block(y).alias("block"), y.alias("y")))
+    dealt = slim.select("id", "xs", owned.alias("ys")).select("id", "xs", "ys", F.explode(F.array_distinct(F.col("ys.block"))).alias("block"))
+    dealt = dealt.select("block", "id", "xs", F.transform(F.filter("ys", lambda s: s["block"] == F.col("block")), lambda s: s["y"]).alias("ys"))
+    sums = spark.createDataFrame([], "block int, round int, x string, total double")
+    for r in range(1, rounds + 1):
+        part = _em_blocks(dealt, sums, r, least, False).select("block", "x", F.col("p").alias("c"))
+        part = tables.written(part, "sums")
+        total = part.groupBy("x").agg(F.sum("c").alias("total"))
+        sums = sums.unionByName(part.join(total, "x").select("block", F.lit(r).alias("round"), "x", "total"))
+        sums = tables.written(sums, "sums")
+    return _em_blocks(dealt, sums, rounds, least, True).select("x", "y", "p")
+
+
+def _em_blocks(dealt: DataFrame, sums: DataFrame, rounds: int, least: int, done: bool) -> DataFrame:
+    """(block, x, y, p) of each block after some rounds: the last round's sums of each x, or if done p of at least 1e-4."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"block": pa.array([], pa.int32()), "x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "p": pa.array([], pa.float64())})
+        flat = lambda c: pc.list_flatten(left[c].combine_chunks()).dictionary_encode()
+        size = lambda c: np.asarray(pc.list_value_length(left[c].combine_chunks())).astype(np.int64)
+        ids = np.asarray(pc.fill_null(left["id"].combine_chunks().dictionary_encode().indices, -1)).astype(np.int64) + 1
+        xs, ys, nx = flat("xs"), flat("ys"), size("xs")
+        xi, width = np.asarray(xs.indices).astype(np.int64), len(ys.dictionary)
+        # words of b, once a pair with their number
+        key, mult = np.unique(np.repeat(np.arange(len(left)), size("ys")) * width + np.asarray(ys.indices), return_counts=True)
+        row, y = key // width, key % width
+        group = np.unique(ids[row] * width + y, return_inverse=True)[1]
+        # cells: each of them with the words of a
+        n = nx[row]
+        at = np.repeat(np.arange(len(key)), n)
+        cell = np.arange(len(at)) - np.repeat(np.cumsum(n) - n - (np.cumsum(nx) - nx)[row], n)
+        code, cell, count = np.unique(y[at] * len(xs.dictionary) + xi[cell], return_inverse=True, return_counts=True)
+        kept = count >= least
+        inside = kept[cell]
+        at, cell, code = at[inside], (np.cumsum(kept) - 1)[cell[inside]], code[kept]
+        x, y = code % len(xs.dictionary), code // len(xs.dictionary)
+        group, mult = group[at], mult[at]
+        p = np.ones(len(code))
+        for r in range(1, rounds + 1):
+            z = np.bincount(group, p[cell])
+            p = np.bincount(cell, mult * p[cell] / z[group], len(code))
+            if r < rounds or done:
+                known = right.filter(pc.equal(right["round"], r))
+                total = np.full(len(xs.dictionary), np.nan)
+                total[np.asarray(pc.index_in(known["x"].combine_chunks(), xs.dictionary))] = np.asarray(known["total"])
+                p = p / total[x]
+        if done:
+            some = p >= 1e-4
+            x, y, p = x[some], y[some], p[some]
+        else:
+            p = np.bincount(x, p, len(xs.dictionary))
+            x, y = np.unique(x), None
+            p = p[x]
+        y = pa.nulls(len(x), pa.string()) if y is None else ys.dictionary.take(pa.array(y))
+        return pa.table({"block": pa.array(np.full(len(x), left["block"][0].as_py(), np.int32)), "x": xs.dictionary.take(pa.array(x)), "y": y, "p": pa.array(p, pa.float64())})
+
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(work, "block int, x string, y string, p double")
 
 
 def akin(a, b):
@@ -191,8 +257,6 @@ def bleu(stats: list[tuple[int, int]], hyp_len: int, ref_len: int) -> float:
 
 def bootstrap_interval(deltas: list[float], rounds: int = 10_000, seed: int = 11) -> tuple[float, float, float]:
     """Mean's 95 % interval and two-sided p of paired deltas, one for each cluster."""
-    import numpy as np
-
     x = np.asarray(deltas, float)
     rng = np.random.default_rng(seed)
     means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(rounds)])
@@ -201,8 +265,6 @@ def bootstrap_interval(deltas: list[float], rounds: int = 10_000, seed: int = 11
 
 def average_linkage(vectors, threshold: float = 0.30) -> list[int]:
     """Agglomerative clusters of unit vectors by mean cosine distance; quadratic, for one bounded group."""
-    import numpy as np
-
     v = np.asarray(vectors, float)
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     groups = [[i] for i in range(len(v))]
@@ -234,8 +296,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> D
     """
     import math
 
-    import numpy as np
-
     parts = [max(1, math.ceil(df.count() / block)) for df in (queries, rows)]
     cut = lambda df, n: df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -271,10 +331,6 @@ def linked_clusters(rows: DataFrame, threshold: float = 0.30, block: int = 2048)
     returns a star for each of its components, never all pairs. Each
     component is then clustered whole, by one task: its size is not bounded.
     """
-    import numpy as np
-
-    from . import tables
-
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
     cut = tables.written(rows.join(sizes, "part").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), "vectors")
     both = cut.select("part", "id", "vector", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))

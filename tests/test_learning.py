@@ -129,3 +129,30 @@ def test_translation_table_of_many_rounds(spark):
     df = spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(rows)], "id int, xs array<string>, ys array<string>")
     got = {(r["x"], r["y"]): r["p"] for r in learning.translation_table(df, "xs", "ys", 6).collect()}
     assert got["kuća", "house"] > 0.95 and got["velika", "big"] > 0.95
+
+
+def test_translation_table_in_blocks_is_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(learning, "CELLS", 40)
+    rng = random.Random(4)
+    some = lambda c, n: [f"{c}{rng.randrange(9)}" for _ in range(rng.randrange(n))]
+    rows = [(i // 2 if i < 20 else i, some("a", 7), some("b", 9)) for i in range(60)] + [(61, None, ["b1"]), (62, ["a1", None], ["b1", None]), (None, ["a1"], ["b1"])]
+    sets = [(i, set(a or ()) - {None}, [y for y in b if y]) for i, a, b in rows]
+    met = Counter((x, y) for _, a, b in sets for x in a for y in set(b))
+    p = {k: 1.0 for k, n in met.items() if n >= 2}
+    for _ in range(2):
+        z, c, total = Counter(), Counter(), Counter()
+        for i, a, b in sets:
+            for x, y in ((x, y) for x in a for y in set(b) if (x, y) in p):
+                z[i, y] += p[x, y]
+        for i, a, b in sets:
+            for x, y in ((x, y) for x in a for y in b if (x, y) in p):
+                c[x, y] += p[x, y] / z[i, y]
+        for (x, _), v in c.items():
+            total[x] += v
+        p = {(x, y): v / total[x] for (x, y), v in c.items()}
+    df = spark.createDataFrame(rows, "id int, xs array<string>, ys array<string>").repartition(3)
+    got = {(r["x"], r["y"]): r["p"] for r in learning.translation_table(df, "xs", "ys", 2).collect()}
+    assert got == pytest.approx({k: v for k, v in p.items() if v >= 1e-4})
+    assert learning.translation_table(df.where("false"), "xs", "ys", 2).count() == 0
