@@ -78,9 +78,22 @@ def translation_table(pairs: DataFrame, a: str, b: str, rounds: int, least: int
     cells = slim.agg(F.sum(F.size("xs").cast("long") * F.size("ys"))).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-cells // CELLS))
     block = lambda y: F.pmod(F.xxhash64(y), F.lit(blocks)).cast("int")
-    owned = F.transform("ys", lambda y: F.struct(block(y).alias("block"), y.alias("y")))
-    dealt = slim.select("id", "xs", owned.alias("ys")).select("id", "xs", "ys", F.explode(F.array_distinct(F.col("ys.block"))).alias("block"))
-    dealt = dealt.select("block", "id", "xs", F.transform(F.filter("ys", lambda s: s["block"] == F.col("block")), lambda s: s["y"]).alias("ys"))
+
+    def deal(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
+                number, ids, xs, ys = (b.column(c) for c in range(4))
+                row = np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(ys)))
+                key = row * blocks + np.asarray(pc.list_flatten(number)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                start = np.flatnonzero(np.diff(key, prepend=-1))
+                mine = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)), pa.int32()), pc.list_flatten(ys).take(pa.array(order)))
+                row = pa.array(row[order][start])
+                yield pa.RecordBatch.from_arrays([pa.array(key[start] % blocks, pa.int32()), ids.take(row), xs.take(row), mine], ["block", "id", "xs", "ys"])
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    dealt = slim.select(F.transform("ys", block).alias("b"), "id", "xs", "ys").mapInArrow(deal, f"block int, id {kind}, xs array<string>, ys array<string>")
     sums = spark.createDataFrame([], "block int, round int, x string, total double")
     for r in range(1, rounds + 1):
         part = _em_blocks(dealt, sums, r, least, False).select("block", "x", F.col("p").alias("c"))
