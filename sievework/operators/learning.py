@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.text import char_ngrams, col
+from ..functions.text import col
 from . import tables
 
 
@@ -35,25 +35,89 @@ def association(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return met.withColumn("assoc", F.col("n") / F.col("seen_x")).withColumn("dice", 2 * F.col("n") / (F.col("seen_x") + F.col("seen_y")))
 
 
+#: Characters that a task takes the grams of at once; a longer text is taken whole. Bits of a character in a gram's number.
+CHARS, BITS = 1 << 20, 21
+
+
+def _gram_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all 1- to 3-grams of texts; an empty text has one empty gram, 0, and a null none."""
+    size = np.asarray(pc.fill_null(pc.utf8_length(texts), 0)).astype(np.int64)
+    chars = np.frombuffer("".join(pc.fill_null(texts, "").to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64) + 1
+    row = np.repeat(np.arange(len(size)), size)
+    rows, found = [row], [chars]
+    for n in (1, 2):
+        same = row[n:] == row[:-n]
+        rows.append(row[n:][same])
+        found.append((chars[:-1] << BITS | chars[1:] if n == 1 else chars[:-2] << 2 * BITS | chars[1:-1] << BITS | chars[2:])[same])
+    empty = np.flatnonzero((size == 0) & np.asarray(pc.is_valid(texts)))
+    return np.concatenate([*rows, empty]), np.concatenate([*found, np.zeros(len(empty), np.int64)])
+
+
+def _runs_of_texts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Runs of rows of about CHARS characters."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0)).astype(np.int64))
+    cuts, lo = [0], 0
+    while lo < len(ends):
+        lo = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHARS, "right")))
+        cuts.append(lo)
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _gram_counts(rows: DataFrame, key: str, text) -> DataFrame:
+    """(key, number, c): each gram of lower-cased texts with its count, summed up in runs of rows of one task."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for b in batches:
+            for lo, hi in _runs_of_texts(b.column(1)):
+                keys = b.column(0).slice(lo, hi - lo).dictionary_encode("encode")
+                row, number = _gram_numbers(b.column(1).slice(lo, hi - lo))
+                own = np.asarray(keys.indices)[row]
+                order = np.argsort(own, kind="stable")
+                ends = np.searchsorted(own[order], np.arange(len(keys.dictionary) + 1))
+                for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    if i < j:
+                        some, c = np.unique(number[order[i:j]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(np.full(len(some), k))), pa.array(some), pa.array(c)], ["key", "number", "c"])
+
+    slim = rows.select(F.col(key), F.lower(col(text)).alias("text"))
+    return slim.mapInArrow(work, f"key {kind}, number long, c long")
+
+
 def bayes_train(rows: DataFrame, label: str, text, least: int = 3) -> DataFrame:
-    """(label, gram, n): character 1- to 3-grams of lower-cased text; longer ones only if counted `least` times."""
-    grams = F.concat(*(char_ngrams(F.col("chars"), n) for n in (1, 2, 3)))
-    rows = rows.select(F.col(label).alias("label"), F.split(F.lower(col(text)), "").alias("chars"))
-    counted = rows.select("label", F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("n"))
-    return counted.where((F.length("gram") == 1) | (F.col("n") >= least))
+    """(label, gram, n): character 1- to 3-grams of lower-cased text; longer ones only if counted `least` times.
+
+    Grams are counted as numbers in Arrow batches, so that only counts are exchanged.
+    """
+    n = _gram_counts(rows, label, text).groupBy("key", "number").agg(F.sum("c").alias("n"))
+    kind = rows.schema[label].dataType.simpleString()
+    mask = (1 << BITS) - 1
+
+    def spell(batches):
+        for b in batches:
+            grams = ["".join(chr(c - 1) for c in (x >> 2 * BITS, x >> BITS & mask, x & mask) if c) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.string()), b.column(2)], ["label", "gram", "n"])
+
+    return n.where(F.col("number").between(1, mask) | (F.col("n") >= least)).mapInArrow(spell, f"label {kind}, gram string, n long")
 
 
 def bayes_predict(rows: DataFrame, model: DataFrame, text, default: str) -> DataFrame:
     """(id, predicted): of rows with id; equal scores go to default, then to the first label."""
+    model = tables.written(model, "bayes-model")
     total = model.groupBy("label").agg(F.sum("n").alias("total"))
     size = model.select("gram").distinct().agg(F.count("*").alias("v"))
-    labels = total.join(F.broadcast(size))  # labels by one row
-    rows = rows.select("id", F.split(F.lower(col(text)), "").alias("chars"))
-    grams = rows.select("id", F.explode(F.concat(*(char_ngrams(F.col("chars"), n) for n in (1, 2, 3)))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
-    length = grams.groupBy("id").agg(F.sum("c").alias("len"))
+    labels = tables.written(total.join(F.broadcast(size)), "bayes-labels")  # labels by one row
+    at = lambda k: F.when(F.length("gram") >= k, F.ascii(F.substring("gram", k, 1)).cast("long") + 1)
+    number = F.lit(0).cast("long")
+    for k in (1, 2, 3):
+        number = F.coalesce(F.shiftleft(number, BITS).bitwiseOR(at(k)), number)
+    numbered = model.where("label IS NOT NULL").groupBy(number.alias("number")).agg(F.collect_list(F.struct("label", F.ln(F.col("n") + 1.0).alias("w"))).alias("ws"))
+    numbered = tables.written(numbered, "bayes-numbers")
     # a gram that a label lacks scores as one counted zero times, so only known grams are joined
-    known = grams.join(model, "gram").join(F.broadcast(labels), "label")
-    gain = known.groupBy("id", "label").agg(F.sum(F.col("c") * F.ln(F.col("n") + 1.0)).alias("gain"))
+    known = _gram_counts(rows, "id", text).join(tables.broadcast_if_small(numbered), "number").select(F.col("key").alias("id"), "c", F.explode("ws").alias("w"))
+    gain = known.groupBy("id", F.col("w.label").alias("label")).agg(F.sum(F.col("c") * F.col("w.w")).alias("gain"))
+    chars = F.length(F.lower(col(text)))
+    length = rows.where(col(text).isNotNull()).groupBy("id").agg(F.sum(F.greatest(F.lit(1), chars, 2 * chars - 1, 3 * chars - 3)).alias("len"))
     scored = length.join(F.broadcast(labels)).join(gain, ["id", "label"], "left")
     scored = scored.withColumn("score", F.round(F.coalesce("gain", F.lit(0.0)) - F.col("len") * F.ln((F.col("total") + F.col("v")).cast("double")), 6))
     best = scored.groupBy("id").agg(F.max_by("label", F.struct("score", (F.col("label") == default).alias("d"))).alias("predicted"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -156,3 +157,34 @@ def test_translation_table_in_blocks_is_brute_force(spark, monkeypatch):
     got = {(r["x"], r["y"]): r["p"] for r in learning.translation_table(df, "xs", "ys", 2).collect()}
     assert got == pytest.approx({k: v for k, v in p.items() if v >= 1e-4})
     assert learning.translation_table(df.where("false"), "xs", "ys", 2).count() == 0
+
+
+def test_bayes_counts_are_brute_force_and_not_exchanged_by_gram_and_row(spark):
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = ["", None, "A", "éÉ", "\x00﻿", "😀bc"] + ["".join(rng.choice("abcdE ") for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = [(i // 2 if i < 8 else i, ["en", "fr", None][i % 3], t) for i, t in enumerate(texts)] + [(900, "en", "ab" * 30), (901, "xx", "\x00﻿" * 4)]
+    grams = lambda t: [""] if t == "" else [t[i : i + n] for n in (1, 2, 3) for i in range(len(t or "") - n + 1)]
+    counted = Counter((lang, g) for _, lang, t in rows for g in grams(t and t.lower()))
+    want = {k: n for k, n in counted.items() if len(k[1]) == 1 or n >= 3}
+    df = spark.createDataFrame(rows, "id int, lang string, text string").repartition(3)
+    model = learning.bayes_train(df, "lang", "text")
+    assert {(r["label"], r["gram"]): r["n"] for r in model.collect()} == want
+    plan = model._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan, plan
+    total, size = Counter(), len({g for _, g in want})
+    for (lang, _), n in want.items():
+        total[lang] += n
+    score, asked = {}, {}
+    for i, _, t in rows:
+        asked.setdefault(i, []).extend(grams(t and t.lower()))
+    for i, found in asked.items():
+        for lang, n in total.items():
+            known = sum(math.log(want.get((lang, g), 0) + 1) for g in found) if lang else 0
+            score[i, lang] = round(known - len(found) * math.log(n + size), 6)
+    got = {r["id"]: r["predicted"] for r in learning.bayes_predict(df.select("id", "text"), model, "text", "en").collect()}
+    assert set(got) == {i for i, found in asked.items() if found}
+    for i, lang in got.items():
+        best = max(score[i, x] for x in total)
+        assert score[i, lang] >= best - 2e-6 and (lang == "en" or score[i, "en"] < best + 2e-6)
