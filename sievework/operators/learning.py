@@ -36,21 +36,51 @@ def association(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: Characters that a task takes the grams of at once; a longer text is taken whole. Bits of a character in a gram's number.
-CHARS, BITS = 1 << 20, 21
-
-
-def _gram_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, number) of all 1- to 3-grams of texts; an empty text has one empty gram, 0, and a null none."""
+CHARS, BITS = 1 << 18, 21
+#: Values below this are counted in an array of all of them if it is not much longer than what is counted; else they are
+#: sorted. Counts of a few keys that a task holds before it hands them on.
+DENSE, HELD = 1 << 23, 1 << 20
+#: Parts the texts that the grams of: a lone surrogate, which no text holds.
+BREAK = "\ud800"
+
+
+def _ranked(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of values below limit, in order, the place of each value among them, and their counts."""
+    if limit > min(DENSE, 8 * len(values) + 1024):
+        found, at, counts = np.unique(values, return_inverse=True, return_counts=True)
+        return found, at, counts
+    counts = np.bincount(values, minlength=limit)
+    found = np.flatnonzero(counts)
+    at = np.zeros(limit, np.int64)
+    at[found] = np.arange(len(found))
+    return found, at[values], counts[found]
+
+
+def _key_grams(keys: np.ndarray, count: int, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, number, c) of all 1- to 3-grams of texts, whose keys are below count; each key and gram once.
+
+    An empty text has one empty gram, 0, and a null none. Grams are numbered by the ranks of the characters and
+    pairs that there are, so most are counted in arrays.
+    """
+    valid = np.asarray(pc.is_valid(texts))
     size = np.asarray(pc.fill_null(pc.utf8_length(texts), 0)).astype(np.int64)
-    chars = np.frombuffer("".join(pc.fill_null(texts, "").to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64) + 1
-    row = np.repeat(np.arange(len(size)), size)
-    rows, found = [row], [chars]
-    for n in (1, 2):
-        same = row[n:] == row[:-n]
-        rows.append(row[n:][same])
-        found.append((chars[:-1] << BITS | chars[1:] if n == 1 else chars[:-2] << 2 * BITS | chars[1:-1] << BITS | chars[2:])[same])
-    empty = np.flatnonzero((size == 0) & np.asarray(pc.is_valid(texts)))
-    return np.concatenate([*rows, empty]), np.concatenate([*found, np.zeros(len(empty), np.int64)])
+    chars = np.frombuffer((BREAK.join(pc.fill_null(texts, "").to_pylist()) + BREAK).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+    own = np.repeat(keys, size + 1)
+    chars[np.cumsum(size + 1) - 1] = 0
+    empty, c = np.unique(keys[(size == 0) & valid], return_counts=True)
+    out = [(empty, np.zeros(len(empty), np.int64), c)]
+    letters, first, _ = _ranked(chars, int(chars.max()) + 1)
+    numbers, whole, rank = letters, letters > 0, first
+    for n in (1, 2, 3):
+        if n > 1:
+            found, rank, _ = _ranked(rank[:-1] * len(letters) + first[n - 1 :], len(numbers) * len(letters))
+            before, last = np.divmod(found, len(letters))
+            numbers, whole = numbers[before] << BITS | letters[last], whole[before] & (letters[last] > 0)
+        at, _, c = _ranked(own[: len(rank)] * len(numbers) + rank, count * len(numbers))
+        key, gram = np.divmod(at, max(1, len(numbers)))
+        some = whole[gram]
+        out.append((key[some], numbers[gram[some]], c[some]))
+    return out
 
 
 def _runs_of_texts(texts: pa.Array) -> list[tuple[int, int]]:
@@ -63,25 +93,60 @@ def _runs_of_texts(texts: pa.Array) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-def _gram_counts(rows: DataFrame, key: str, text) -> DataFrame:
-    """(key, number, c): each gram of lower-cased texts with its count, summed up in runs of rows of one task."""
+def _keyed_runs(batches):
+    """(distinct keys, rows' keys among them, texts) of runs of rows of batches (key, text)."""
+    for b in batches:
+        for lo, hi in _runs_of_texts(b.column(1)):
+            keys = b.column(0).slice(lo, hi - lo).dictionary_encode("encode")
+            yield keys.dictionary, np.asarray(keys.indices).astype(np.int64), b.column(1).slice(lo, hi - lo)
+
+
+def _summed(parts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """parts (key, number, c) as one, each key and number once."""
+    key, number, c = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((number, key))
+    key, number, c = key[order], number[order], c[order]
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1])]) if len(key) else np.zeros(0, bool))
+    return [(key[starts], number[starts], np.add.reduceat(c, starts) if len(starts) else c)]
+
+
+def _lowered(rows: DataFrame, key: str, text) -> DataFrame:
+    return rows.select(F.col(key), F.lower(col(text)).alias("text"))
+
+
+def _gram_counts(rows: DataFrame, key: str, text, few: bool = False) -> DataFrame:
+    """(key, number, c): each gram of lower-cased texts with its count, summed up in runs of rows of one task.
+
+    With few keys a task adds runs up while that keeps what it holds small.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
-    def work(batches):
-        for b in batches:
-            for lo, hi in _runs_of_texts(b.column(1)):
-                keys = b.column(0).slice(lo, hi - lo).dictionary_encode("encode")
-                row, number = _gram_numbers(b.column(1).slice(lo, hi - lo))
-                own = np.asarray(keys.indices)[row]
-                order = np.argsort(own, kind="stable")
-                ends = np.searchsorted(own[order], np.arange(len(keys.dictionary) + 1))
-                for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                    if i < j:
-                        some, c = np.unique(number[order[i:j]], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(np.full(len(some), k))), pa.array(some), pa.array(c)], ["key", "number", "c"])
+    def told(names, parts):
+        for own, number, c in parts:
+            if len(own):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(number), pa.array(c)], ["key", "number", "c"])
 
-    slim = rows.select(F.col(key), F.lower(col(text)).alias("text"))
-    return slim.mapInArrow(work, f"key {kind}, number long, c long")
+    def work(batches):
+        codes, held, size = {}, [], 0
+        names = lambda kind_: pa.array(list(codes), kind_)
+        for keys, own, texts in _keyed_runs(batches):
+            parts = _key_grams(own, len(keys), texts)
+            if not few:
+                yield from told(keys, parts)
+                continue
+            code = np.array([codes.setdefault(k, len(codes)) for k in keys.to_pylist()], np.int64)
+            held += [(code[k], number, c) for k, number, c in parts]
+            size += sum(len(c) for _, _, c in parts)
+            if size > HELD:
+                held = _summed(held)
+                size = len(held[0][2])
+                if size > HELD // 2:
+                    yield from told(names(keys.type), held)
+                    codes, held, size = {}, [], 0
+        if held:
+            yield from told(names(keys.type), _summed(held))
+
+    return _lowered(rows, key, text).mapInArrow(work, f"key {kind}, number long, c long")
 
 
 def bayes_train(rows: DataFrame, label: str, text, least: int = 3) -> DataFrame:
@@ -89,7 +154,7 @@ def bayes_train(rows: DataFrame, label: str, text, least: int = 3) -> DataFrame:
 
     Grams are counted as numbers in Arrow batches, so that only counts are exchanged.
     """
-    n = _gram_counts(rows, label, text).groupBy("key", "number").agg(F.sum("c").alias("n"))
+    n = _gram_counts(rows, label, text, few=True).groupBy("key", "number").agg(F.sum("c").alias("n"))
     kind = rows.schema[label].dataType.simpleString()
     mask = (1 << BITS) - 1
 
@@ -113,17 +178,51 @@ def bayes_predict(rows: DataFrame, model: DataFrame, text, default: str) -> Data
         number = F.coalesce(F.shiftleft(number, BITS).bitwiseOR(at(k)), number)
     numbered = model.where("label IS NOT NULL").groupBy(number.alias("number")).agg(F.collect_list(F.struct("label", F.ln(F.col("n") + 1.0).alias("w"))).alias("ws"))
     numbered = tables.written(numbered, "bayes-numbers")
-    # a gram that a label lacks scores as one counted zero times, so only known grams are joined
-    known = _gram_counts(rows, "id", text).join(tables.broadcast_if_small(numbered), "number").select(F.col("key").alias("id"), "c", F.explode("ws").alias("w"))
-    gain = known.groupBy("id", F.col("w.label").alias("label")).agg(F.sum(F.col("c") * F.col("w.w")).alias("gain"))
-    chars = F.length(F.lower(col(text)))
-    length = rows.where(col(text).isNotNull()).groupBy("id").agg(F.sum(F.greatest(F.lit(1), chars, 2 * chars - 1, 3 * chars - 3)).alias("len"))
-    scored = length.join(F.broadcast(labels)).join(gain, ["id", "label"], "left")
-    scored = scored.withColumn("score", F.round(F.coalesce("gain", F.lit(0.0)) - F.col("len") * F.ln((F.col("total") + F.col("v")).cast("double")), 6))
+    if tables.is_small(numbered):
+        gained = _gains(rows, numbered, labels, text)
+    else:
+        # a gram that a label lacks scores as one counted zero times, so only known grams are joined
+        known = _gram_counts(rows, "id", text).join(numbered, "number").select(F.col("key").alias("id"), "c", F.explode("ws").alias("w"))
+        gain = known.groupBy("id", F.col("w.label").alias("label")).agg(F.sum(F.col("c") * F.col("w.w")).alias("gain"))
+        chars = F.length(F.lower(col(text)))
+        length = rows.where(col(text).isNotNull()).groupBy("id").agg(F.sum(F.greatest(F.lit(1), chars, 2 * chars - 1, 3 * chars - 3)).alias("len"))
+        gained = length.join(F.broadcast(labels)).join(gain, ["id", "label"], "left")
+    scored = gained.withColumn("score", F.round(F.coalesce("gain", F.lit(0.0)) - F.col("len") * F.ln((F.col("total") + F.col("v")).cast("double")), 6))
     best = scored.groupBy("id").agg(F.max_by("label", F.struct("score", (F.col("label") == default).alias("d"))).alias("predicted"))
     return best
 
 
+def _gains(rows: DataFrame, numbered: DataFrame, labels: DataFrame, text) -> DataFrame:
+    """(id, len, gain, label, total, v): of rows' texts for each label, by a model that each task holds."""
+    at = labels.select("label", "total", "v").withColumn("at", F.row_number().over(Window.orderBy("label")) - 1)
+    at = tables.written(at, "bayes-places")  # a row a label
+    places = {r["label"]: r["at"] for r in at.select("label", "at").collect()}
+    model = numbered.orderBy("number").select("number", F.explode("ws").alias("w")).select("number", "w.label", "w.w").toArrow()
+    grams, place = np.unique(model["number"].to_numpy(), return_inverse=True)
+    weights = np.zeros((len(places), len(grams) + 1))  # the last for grams that are not known
+    weights[[places[k] for k in model["label"].to_pylist()], place] = model["w"].to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast((grams, weights))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(batches):
+        grams, weights = held.value
+        many = len(weights)
+        for keys, own, texts in _keyed_runs(batches):
+            size, gain = np.zeros(len(keys)), np.zeros((many, len(keys)))
+            for key, number, c in _key_grams(own, len(keys), texts):
+                spot = np.searchsorted(grams, number)
+                spot[spot < len(grams)] = np.where(grams[spot[spot < len(grams)]] == number[spot < len(grams)], spot[spot < len(grams)], len(grams))
+                size += np.bincount(key, c, len(keys))
+                for k in range(many):
+                    gain[k] += np.bincount(key, c * weights[k, spot], len(keys))
+            there = np.flatnonzero(size)
+            ids = keys.take(pa.array(np.repeat(there, many)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(size[there].astype(np.int64), many)), pa.array(gain[:, there].T.ravel()), pa.array(np.tile(np.arange(many), len(there)))], ["id", "len", "gain", "at"])
+
+    told = _lowered(rows, "id", text).mapInArrow(work, f"id {kind}, len long, gain double, at long")
+    return told.groupBy("id", "at").agg(F.sum("len").alias("len"), F.sum("gain").alias("gain")).join(F.broadcast(at), "at").drop("at")
+
+
 #: Cells (word of a, word of b, pair) that a task of translation_table holds, about 100 bytes each while it sorts them.
 CELLS = 1 << 22
 
