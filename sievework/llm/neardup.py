@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, 0.8 or more, exact.
+"""Near-duplicates by SimHash and by the Jaccard similarity of five-word shingles, 0.8 or more, exact.
 
-SimHash within a few bits finds only closer copies: at similarity 0.8 fingerprints differ by about ten bits
-on average and by over twenty at times, where no distance bound is selective. So candidates come from prefix
+SimHash proposes first: sets' fingerprints are searched by the vantage-point trees of simhash, and what these put
+together is linked if the sets have the similarity. That finds the closer copies: at similarity 0.8 fingerprints
+differ by about ten bits on average and by over twenty at times, where no distance bound is selective. So the
+rest of the pairs, those of different components still, come from prefix
 filtering: of two sets with similarity 0.8 or more, the first n - ceil(0.8 n) + 1 shingles of each, in any
 order common to all, share one. Rare shingles come first by a sample's counts, so that passages that many
 documents hold propose few pairs, and a shared shingle counts only if enough of both sets stands behind it.
@@ -11,7 +13,7 @@ n - ceil(0.8 n) + m in order of the hash share m, so a set goes on only if other
 hashes as its smallest partner would ask for. Hashes that a sample of the texts holds again and again are
 known to be shared and are not sent around. The samples change the cost, never the result.
 
-Equal sets are one point, whatever their number. Of those that share a shingle, each is first compared with
+Equal sets are one point, whatever their number. Of those that share a shingle, each is compared with
 the least and the greatest, then, where many share it, in a few rounds with some neighbours in a random order,
 and at last with all that are of other components still: by then these are few, so a group of near copies does not cost the square
 of its size. Shingles that very many points share are cut into parts, each compared with each, so no task
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from . import shared, simhash
 
 SHINGLE, SEED = 5, 42
+#: Bits within which fingerprints are searched: a cost, never the result, as prefix filtering finds what lies further apart.
+RADIUS = 8
 #: Similarity as a fraction, so that bounds are whole numbers.
 OVER, UNDER = 4, 5
 #: Texts whose shingles are counted, sets that the order goes by, and the most shingles that are known as common.
@@ -156,16 +160,40 @@ def _likely(all_: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _full(rows: DataFrame, text: str, key: str, likely: DataFrame) -> DataFrame:
-    """(d, n, hs): the whole sets of the rows in likely."""
+    """(d, fp, n, hs): the whole sets of the rows in likely, and their fingerprints."""
     slim = rows.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(shared.broadcast_if_small(likely), "k").select("d", "t")
 
     def work(batches):
         for b in batches:
             sets = _sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), _lists(sets)], ["d", "n", "hs"])
+            fps = np.array([simhash.of_hashes(s[i : i + simhash.PART] for i in range(0, len(s), simhash.PART)) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(np.array([len(s) for s in sets], np.int64)), _lists(sets)], ["d", "fp", "n", "hs"])
         shared.tidy()
 
-    return shared.materialize(slim.mapInArrow(work, "d long, n long, hs array<long>"), "neardup-sets")
+    return shared.materialize(slim.mapInArrow(work, "d long, fp long, n long, hs array<long>"), "neardup-sets")
+
+
+def _proposed(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) by SimHash: sets of one fingerprint with the least, and those with the points that the trees link them to."""
+    points = shared.materialize(sets.groupBy("fp").agg(F.min("d").alias("first")), "neardup-points")
+    small = shared.stored_bytes(points) <= shared.BROADCAST_BYTES
+
+    def met(rows, key, name):
+        side = points.select(F.col("fp").alias(key), F.col("first").alias(name))
+        return rows.join(F.broadcast(side), key) if small else _tagged(rows, key).join(_tagged(side, key), [key, "tag"]).drop("tag")
+
+    same = met(sets.select("fp", "d"), "fp", "e").select("d", "e")
+    near = met(met(simhash.links(points.select("fp"), points.count(), RADIUS), "fp", "d"), "root", "e").select("d", "e")
+    return same.unionAll(near).where("d <> e").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that roots does not join yet."""
+    small = shared.stored_bytes(roots) <= shared.BROADCAST_BYTES
+    for c in ("a", "b"):
+        side = roots.select(F.col("d").alias(c), F.col("root").alias(f"r{c}"))
+        pairs = pairs.join(F.broadcast(side) if small else side, c, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
@@ -280,6 +308,7 @@ def _joined(edges: DataFrame) -> DataFrame:
 
 def _roots(sets: DataFrame) -> DataFrame:
     """(d, root) of the points that are linked with others."""
+    roots = _joined(_alike(_proposed(sets), sets))
     count = sets.count()
     sample = sets.where(F.pmod(F.xxhash64("d"), F.lit(max(1, count // ORDER_SAMPLE))) == 0)
     counted = sample.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
@@ -291,7 +320,7 @@ def _roots(sets: DataFrame) -> DataFrame:
     shared.sweep(sets.sparkSession)
     first = meet.select("d", "n", "p", F.explode(F.array("lo", "hi")).alias("x")).where((F.col("d") != F.col("x.d")) & _fit(F.col("n"), F.col("p"), F.col("x.n"), F.col("x.p")))
     pairs = first.select(F.least("d", "x.d").alias("a"), F.greatest("d", "x.d").alias("b")).distinct()
-    roots = _joined(_alike(pairs, sets))
+    roots = _joined(_alike(_apart(pairs, roots), sets).unionByName(roots.select(F.col("d").alias("a"), F.col("root").alias("b"))))
     meet = meet.drop("lo", "hi")
     for step in range(ROUNDS + 1):
         last = step == ROUNDS

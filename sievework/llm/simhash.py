@@ -55,9 +55,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = np.zeros(len(words), np.int64)
     np.cumsum(sizes[:-1] + 1, out=starts[1:])
     ends = (starts + sizes)[shingle - 1 :]
-    total, counts = len(ends), np.zeros(64, np.int64)
-    for a in range(0, total, PART):
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[a : min(a + PART, total)].tolist(), ends[a : a + PART].tolist())], "<u8")
+    total = len(ends)
+    return of_hashes(np.array([digest(joined[i:j], SEED) for i, j in zip(starts[a : min(a + PART, total)].tolist(), ends[a : a + PART].tolist())], "<u8") for a in range(0, total, PART))
+
+
+def of_hashes(parts) -> int:
+    """The fingerprint of shingles' hashes, which come in parts; 0 if there are none."""
+    total, counts = 0, np.zeros(64, np.int64)
+    for h in parts:
+        total += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
