@@ -120,6 +120,7 @@ def _placed(points: DataFrame, trees: list[vptree.Tree], parts: dict[int, int] |
                 cols = [np.concatenate(c) for c in zip(*out)]
                 for a in range(0, len(cols[0]), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], ["shard", "home", "fp"])
+        shared.tidy()
 
     return points.select("fp").mapInArrow(work, "shard long, home boolean, fp long")
 
@@ -162,6 +163,7 @@ def links(points: DataFrame, count: int, radius: int = RADIUS, shard: int = SHAR
                     yield from _star(fp[i:j][met[:, 0]], own.points[met[:, 1]])
         if held:
             yield from _home(vptree.Shard(np.concatenate(held), radius, bits[which[shard]], 1))
+        shared.tidy()
 
     return rows.mapInArrow(work, "fp long, root long").distinct()
 
